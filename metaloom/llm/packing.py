@@ -5,7 +5,7 @@ that may be shorter. What is packed is the histogram of piece lengths, which has
 documents there are. A configuration is a multiset of lengths that fits a sequence; the covering program over all of them is
 solved by multiplicative weights: the lengths' weights price configurations, dynamic programming over the capacity finds the
 best one (an unbounded knapsack), and each use lowers the weights of the lengths that it covers. The fractional solution is
-rounded by applying its configurations as often as it says while items for them remain; the rest is packed by best fit, longest first.
+rounded down on the configurations that fill a sequence; the rest is packed by best fit, longest first.
 
 Every piece then finds its place alone: its rank among the pieces of its length (a rank within its task plus an offset for
 the task) selects a slot of a configuration's copies. Null texts count as empty (one end id); repeated rows are packed as often as
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import batches, columns_of, small_batches, stash, table
 
 #: Times that the multiplicative weights cover every length before the solution is scaled; and how fast weights fall.
-ROUNDS, EPSILON = 2, 0.3
+ROUNDS, EPSILON = 2, 3.0
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 
 
@@ -65,7 +65,7 @@ def fractional(demand: dict[int, int], capacity: int) -> dict[tuple[int, ...], f
     while (open_ := np.flatnonzero(covered < ROUNDS)).size:
         weights = lengths[open_] / capacity * np.exp(-EPSILON * level[open_])
         chosen = Counter(open_[best_configuration(lengths[open_], weights, capacity)].tolist())
-        at, times = np.array(list(chosen)), np.array(list(chosen.values()), float)
+        at, times = np.array(list(chosen), int), np.array(list(chosen.values()), float)
         amount = (need[at] / times).min()
         uses[tuple(sorted(lengths[list(chosen.elements())].tolist(), reverse=True))] += amount
         covered[at] += amount * times / need[at]
@@ -80,7 +80,7 @@ def plan(demand: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     out = [((capacity,), demand[capacity])] if demand.get(capacity) else []
     for lengths, amount in sorted(fractional(left, capacity).items(), key=lambda x: (-sum(x[0]), -x[1], x[0])) if left else []:
         counts = Counter(lengths)
-        if times := min(int(np.ceil(amount)), *(left[x] // n for x, n in counts.items())):
+        if sum(lengths) == capacity and (times := min(int(amount), *(left[x] // n for x, n in counts.items()))):
             out.append((lengths, times))
             for x, n in counts.items():
                 left[x] -= n * times

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, warc
+from . import bpe, exact_dedup, fingerprints, packing, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
+    "op3_order_minhash": fingerprints.query,
     "op4_best_fit_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op9_warc": warc.query,
