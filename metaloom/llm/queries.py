@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, packing, warc
+from . import bpe, exact_dedup, fingerprints, licenses, packing, quality, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
     "op3_order_minhash": fingerprints.query,
     "op4_best_fit_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op10_quality": quality.query,
+    "op7_license_scan": licenses.query,
     "op9_warc": warc.query,
 }
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_license_scan": licenses.ORACLE, "op9_warc": warc.ORACLE}
