@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python; texts may be long, so batches hold few rows.
@@ -150,24 +150,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps over written tables until nothing changes; a node's neighbours are only aggregated, never gathered.
     """
-    current = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    while True:
+    current = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
+    while (state := current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).first()) != seen:
+        seen = state
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large.where("u <> v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        following = stash(small.where("u <> v").distinct())
-        changed = following.exceptAll(current).limit(1).count() or current.exceptAll(following).limit(1).count()
-        current = following
-        if not changed:
-            break
-    roots = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return roots.union(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
-def hex_of(column: str) -> Column:
-    return F.lower(F.hex(F.col(column)))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        current = stash(small.distinct())
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v"), F.col("v"))).distinct()

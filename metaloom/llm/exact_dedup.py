@@ -86,11 +86,11 @@ def assign(docs: DataFrame) -> DataFrame:
     rows = stash(columns_of(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_digests, "doc_id long, part long, row long, digest binary, size long, second long"))
     level = rows.select(F.col("part").alias("node"), "digest", "size", "second", F.col("doc_id").alias("keep_id"), F.col("part").alias("keep_part"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"))
     # the leaves' runs: a file holds rows of few parts, and rows of one part may be spread over tasks, so the first exchange follows at once
-    local = level = stash(_in_order(level).mapInArrow(_merge, _RUNS))
-    widest = (level.agg(F.max("node")).first()[0] or 0) + 1
+    local = level = _in_order(level).mapInArrow(_merge, _RUNS)
+    widest = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level = level.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
-        level = stash(_in_order(level.repartition("node", "digest")).mapInArrow(_merge, _RUNS))
+        level = _in_order(level.repartition("node", "digest")).mapInArrow(_merge, _RUNS)
         if widest <= FAN_IN:
             break
         widest = -(-widest // FAN_IN)

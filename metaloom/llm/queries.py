@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, packing, quality, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, licenses, packing, quality, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.query,
     "op2_byte_bpe": bpe.query,
     "op3_order_minhash": fingerprints.query,
     "op4_best_fit_packing": packing.query,
