@@ -9,9 +9,13 @@ numerator / denominator; what is returned are the classes that the links connect
   to t. A document picks the m with the lowest estimated cost - elements met in the lists of its prefix, plus comparisons with the
   documents met m times - so a prefix of common elements is lengthened and asks for more shared elements in return.
 * Candidates. Elements that stand in one prefix only are dropped. Groups of near copies are settled in rounds that stay linear in the
-  group: for each element one document leads, every other document is compared with the leader it shares most elements with, and linked
-  documents form components. Rounds end when one adds no link. Then all pairs of different components that share enough prefix elements are
-  compared, so no link that could join two components is missed.
+  group: for each element the document with the most shared elements leads, every other document is compared with the leader it shares most
+  elements with, and linked documents form components. Documents that are merely related to their leader (`RELATED`) form families.
+* Families. Within a family a document is described by its difference from the family's lead, the elements of one but not the other.
+  The difference of two documents is that of their differences, so documents that link, but not through the lead, share a known part of
+  them; prefixes of the differences, rare elements first, find these pairs without listing a family's other pairs.
+* Rest. Pairs of different families and components that share enough prefix elements are compared one by one, so no link that could join
+  two components is missed.
 * Comparison. Pairs are dealt by their leader, in parts of bounded size; texts are shuffled only of documents in pairs, for which a fixed
   bit map is broadcast, and a task holds one leader's set and one batch.
 
@@ -35,7 +39,9 @@ from .common import batches, columns_of, components, mix, shingle_hashes, small_
 #: Counters of the sketch, and how many travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 15
 #: Most prefix elements that a document may ask to share; the cost of a comparison in list elements; pairs of a leader in one part; rounds.
-MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 4.0, 64, 4
+MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 4.0, 64, 2
+#: Similarity from which a document belongs to its leader's family.
+RELATED = 0.3
 #: Occurrences from which an element's list is dealt to several tasks.
 SPLIT = 1 << 16
 _MAP_BITS = 20
@@ -148,13 +154,11 @@ def _postings(docs: DataFrame, k: int, ratio: tuple[int, int], sketch: Broadcast
     return stash(dealt.mapInArrow(shared, "token long, doc_id long, packed long"))
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, k: int, ratio: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of documents that link; a leads."""
+def _with_leaders(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts dealt by leader for pairs (a, b), a leading: leader, part, role (0: the leader's own text, which comes first), doc_id, text."""
     spark = docs.sparkSession
     mask = (1 << _MAP_BITS) - 1
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.col("id").bitwiseAND(F.lit(mask)).alias("bit")).distinct().collect()  # 2**_MAP_BITS rows at most
-    if not ids:
-        return pairs
+    ids = pairs.select("a").union(pairs.select("b")).select(F.col("a").bitwiseAND(F.lit(mask)).alias("bit")).distinct().collect()  # 2**_MAP_BITS rows at most
     bits = np.zeros(1 << _MAP_BITS, bool)
     bits[[r[0] for r in ids]] = True
     wanted = spark.sparkContext.broadcast(bits)
@@ -169,30 +173,75 @@ def _compare(docs: DataFrame, pairs: DataFrame, k: int, ratio: tuple[int, int])
     # a document's text goes once to each part of each leader that it belongs to
     roles = rows.select(F.col("a").alias("leader"), "part", F.lit(1).alias("role"), F.col("b").alias("doc_id")).union(rows.select("a", "part", F.lit(0), "a").distinct())
     texts = docs.mapInArrow(narrow, "doc_id long, text string")
-    dealt = texts.join(roles, "doc_id").select("leader", "part", "role", "doc_id", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "doc_id")
+    return texts.join(roles, "doc_id").select("leader", "part", "role", "doc_id", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "doc_id")
+
+
+def _met(it: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """For each batch the leader, the document and both their sets; a document with several texts meets each of its leader's."""
+    here, leads = None, []
+    for batch in batches(it, 2 << 20):
+        out = []
+        for leader, part, role, doc_id, s in zip(*(batch.column(i).to_pylist() for i in range(4)), sets(batch.column(4), k), strict=True):
+            if (leader, part) != here:
+                here, leads = (leader, part), []
+            if role == 0:
+                leads.append(s)
+            else:
+                out += [(leader, doc_id, x, s) for x in leads if len(x) and len(s)]
+        yield out
+
+
+def _links(x: int, y: int, both: int, ratio: tuple[int, int]) -> bool:
+    return ratio[1] * both >= ratio[0] * (x + y - both)
+
+
+def _compare(docs: DataFrame, pairs: DataFrame, k: int, ratio: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b), a leading, that are related, and whether they link."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, leads = None, []
-        numerator, denominator = ratio
-        for batch in batches(it, 2 << 20):
-            a, b = [], []
-            for leader, part, role, doc_id, s in zip(*(batch.column(i).to_pylist() for i in range(4)), sets(batch.column(4), k), strict=True):
-                if (leader, part) != here:
-                    here, leads = (leader, part), []
-                if not len(s):
-                    continue
-                if role == 0:
-                    leads.append(s)
+        for met in _met(it, k):
+            out = []
+            for leader, doc_id, x, s in met:
+                both = len(np.intersect1d(x, s, assume_unique=True))
+                linked = _links(len(x), len(s), both, ratio)
+                if linked or both >= RELATED * (len(x) + len(s) - both):
+                    out.append((leader, doc_id, linked))
+            a, b, linked = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return _with_leaders(docs, pairs).mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _differences(docs: DataFrame, pairs: DataFrame, k: int, ratio: tuple[int, int], sketch: Broadcast) -> DataFrame:
+    """Prefixes of the differences between b and its family's lead a: a, element, b, n and d (sizes of b's set and difference), place, linked (to a).
+
+    With s the smallest similarity, sets x and y that link differ in (1 - s) / (1 + s) * (|x| + |y|) elements at most. A document that doesn't
+    link with the lead differs from it in more than that, which bounds what the differences of two documents share, and so their prefixes.
+    """
+    share = ratio[0] / ratio[1]
+    most = (1 - share) / (1 + share)
+    schema = pa.schema([("a", pa.int64()), ("element", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("place", pa.int64()), ("linked", pa.bool_())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for met in _met(it, k):
+            out = []
+            for leader, doc_id, x, s in met:
+                new, gone = np.setdiff1d(s, x, assume_unique=True), np.setdiff1d(x, s, assume_unique=True)
+                d, linked = len(new) + len(gone), _links(len(x), len(s), len(s) - len(new), ratio)
+                if not d:
                     continue
-                for x in leads:
-                    both = len(np.intersect1d(x, s, assume_unique=True))
-                    if denominator * both >= numerator * (len(x) + len(s) - both):
-                        a.append(leader)
-                        b.append(doc_id)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                widest = most * len(s) * (1 + 1 / share)
+                need = (d + most * (share * len(s) + len(x)) - widest) / 2 if linked else d - widest
+                size = d - max(1, int(np.ceil(need - 1e-6))) + 1
+                order = [part[np.lexsort((part, counts[(part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))] for part in (new, gone)]
+                elements = np.concatenate(order)[: max(0, size)].view(np.int64)
+                m = len(elements)
+                out.append((np.full(m, leader), elements, np.full(m, doc_id), np.full(m, len(s)), np.full(m, d), np.arange(m), np.full(m, linked)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return _with_leaders(docs, pairs).mapInArrow(run, "a long, element long, b long, n long, d long, place long, linked boolean")
 
 
 def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
@@ -207,34 +256,43 @@ def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame
     sketch = spark.sparkContext.broadcast(_sketch(described))
     postings = _postings(docs, k, ratio, sketch).join(aliases, "doc_id", "left")
     postings = stash(postings.select("token", F.coalesce("first", "doc_id").alias("doc"), F.shiftright("packed", 8).alias("n"), F.shiftright("packed", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("packed").bitwiseAND(F.lit(15)).alias("matches")).distinct())
-    links, compared = None, None
+    weight = postings.groupBy("doc").agg(F.count("*").alias("weight"))
+    postings = stash(postings.join(weight, "doc"))
+    similar = lambda x, y: F.least(x, y) * denominator >= F.greatest(x, y) * numerator
+    met = None
     open_ = postings.withColumn("component", F.col("doc"))
-    turn = 0
-    while True:
-        spread = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("doc", "n", "component"), F.xxhash64("doc", F.lit(turn))).alias("lead")).where("low <> high").select("token", "lead")
-        near = open_.join(spread, "token")
-        similar = lambda x, y: (F.least(x, y) * denominator >= F.greatest(x, y) * numerator)
-        if turn < ROUNDS:
-            led = near.where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
-            pairs = led.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        else:
-            left, right = (near.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "level", "matches", "component")]) for i in (1, 2))
-            need = F.least("matches1", "matches2")
-            met = left.join(right, "token").where((F.col("doc1") < F.col("doc2")) & (F.col("component1") != F.col("component2")) & similar(F.col("n1"), F.col("n2")) & (F.col("level1") <= need) & (F.col("level2") <= need))
-            pairs = met.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where("shared >= need").select("a", "b")
-        if compared is not None:
-            pairs = pairs.join(compared, (F.least(pairs["a"], pairs["b"]) == compared["x"]) & (F.greatest(pairs["a"], pairs["b"]) == compared["y"]), "left_anti")
-        pairs = stash(pairs)
-        found = stash(_compare(docs, pairs, k, ratio).select("a", "b"))
-        own = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        compared = own if compared is None else compared.union(own)
-        links = found if links is None else links.union(found)
-        if turn >= ROUNDS:
-            break
-        turn = turn + 1 if found.limit(1).count() else ROUNDS
-        members = components(links)
-        open_ = postings.join(members.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    members = components(links.select("a", "b").union(aliases.select(F.col("first"), F.col("doc_id"))))
+    for turn in range(ROUNDS):
+        # elements of one component are settled
+        leads = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("doc", "n", "component"), F.struct("weight", F.xxhash64("doc", F.lit(turn)))).alias("lead")).where("low <> high").select("token", "lead")
+        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
+        found = stash(_compare(docs, stash(led.groupBy("b").agg(F.max_by("a", F.struct("shared", F.xxhash64("a"))).alias("a")).select("a", "b")), k, ratio))
+        met = found if met is None else met.union(found)
+        members = components(met.where("linked").select("a", "b")).withColumnRenamed("node", "doc")
+        open_ = postings.join(members, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    families = components(met.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    open_ = open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
+    mixed = open_.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("family").alias("f"), F.max("family").alias("g")).where("c <> d").select("token", (F.col("f") != F.col("g")).alias("several"))
+    open_ = stash(open_.join(mixed, "token"))
+    # within families
+    own = open_.groupBy("family", "doc").agg(F.max(F.struct("weight", F.xxhash64("doc"), "doc")).alias("rank"), F.min("component").alias("component"))
+    lead = own.groupBy("family").agg(F.max_by("doc", "rank").alias("a"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("family", "a")
+    followers = own.join(lead, "family").where("doc <> a").select("a", F.col("doc").alias("b"))
+    apart = stash(_differences(docs, stash(followers), k, ratio, sketch))
+    apart = apart.join(own.select(F.col("doc").alias("b"), "component"), "b")
+    left, right = (apart.select("a", "element", *[F.col(c).alias(f"{c}{i}") for c in ("b", "n", "d", "place", "linked", "component")]) for i in (1, 2))
+    least = F.expr(f"div(d1 + d2 - n1 - n2, 2) + ceil({numerator} * (n1 + n2) / {numerator + denominator}D - 1e-9)")
+    close = left.join(right, ["a", "element"]).where((F.col("b1") < F.col("b2")) & (F.col("component1") != F.col("component2")) & ~(F.col("linked1") & F.col("linked2")) & similar(F.col("n1"), F.col("n2")) & (F.col("place1") <= F.col("d1") - F.greatest(F.lit(1), least)) & (F.col("place2") <= F.col("d2") - F.greatest(F.lit(1), least)))
+    within = close.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+    # between families
+    rest = open_.where("several")
+    left, right = (rest.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "level", "matches", "component", "family")]) for i in (1, 2))
+    need = F.least("matches1", "matches2")
+    both = left.join(right, "token").where((F.col("doc1") < F.col("doc2")) & (F.col("component1") != F.col("component2")) & (F.col("family1") != F.col("family2")) & similar(F.col("n1"), F.col("n2")) & (F.col("level1") <= need) & (F.col("level2") <= need))
+    between = both.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where("shared >= need").select("a", "b")
+    last = stash(_compare(docs, stash(within.union(between)), k, ratio).where("linked"))
+    straight = apart.where("linked").select("a", "b").distinct()
+    links = met.where("linked").select("a", "b").union(last.select("a", "b")).union(straight)
+    members = components(links.union(aliases.select(F.col("first"), F.col("doc_id"))))
     return rows.join(members, rows["doc_id"] == members["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
