@@ -26,6 +26,7 @@ component. An empty table gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import batches, columns_of, components, mix, shingle_hashes, small_batches, stash, table, text_buffer, word_hashes
 
 #: Counters of the sketch, and how many travel in one row.
-SKETCH_BITS, CHUNK_BITS = 20, 15
+SKETCH_BITS, CHUNK_BITS = 22, 18
 #: Most prefix elements that a document may ask to share; the cost of a comparison in list elements; pairs of a leader in one part; rounds.
 MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 4.0, 64, 2
 #: Similarity from which a document belongs to its leader's family.
@@ -57,23 +58,33 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s * np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def _counted(own: list[np.ndarray]) -> np.ndarray:
+    at = np.concatenate(own) >> np.uint64(64 - SKETCH_BITS) if own else np.zeros(0, np.uint64)
+    return np.bincount(at.astype(np.int64), minlength=1 << SKETCH_BITS)
+
+
 def _describe(docs: DataFrame, k: int) -> DataFrame:
     """One row a document (doc_id, n, d1, d2: size and digest of its set) and rows (chunk, counts) of the sketch of each task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for batch in batches(it, 2 << 20):
             own = sets(batch.column(1), k)
             n = len(own)
             if n:
-                sketch += np.bincount((np.concatenate(own) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                waiting += own
+                held += sum(map(len, own))
+                if held > 1 << 21:
+                    sketch += _counted(waiting)
+                    waiting, held = [], 0
                 d = np.array([_digest(s) for s in own], np.int64).reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        sketch += _counted(waiting)
         for chunk, part in enumerate(np.split(sketch, 1 << (SKETCH_BITS - CHUNK_BITS))):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([chunk], pa.int32()), pa.array([np.minimum(part, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.minimum(part, (1 << 32) - 1).astype("<u4").tobytes(), 1)], pa.binary())], schema=schema)
 
     return stash(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"))
 
@@ -85,7 +96,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in it:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
         for chunk, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
 
@@ -93,7 +104,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     out = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
     for row in rows.toLocalIterator():
         out[row["chunk"]] += np.frombuffer(row["counts"], "<i8")
-    return out.ravel()
+    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
 
 
 def prefix(s: np.ndarray, estimate: np.ndarray, noise: float, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -264,7 +275,7 @@ def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame
     for turn in range(ROUNDS):
         # elements of one component are settled
         leads = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("doc", "n", "component"), F.struct("weight", F.xxhash64("doc", F.lit(turn)))).alias("lead")).where("low <> high").select("token", "lead")
-        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
+        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.first("matches").alias("matches")).where("shared >= matches")
         found = stash(_compare(docs, stash(led.groupBy("b").agg(F.max_by("a", F.struct("shared", F.xxhash64("a"))).alias("a")).select("a", "b")), k, ratio))
         met = found if met is None else met.union(found)
         members = components(met.where("linked").select("a", "b")).withColumnRenamed("node", "doc")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, licenses, packing, quality, warc
+from . import bpe, exact_dedup, fingerprints, html_text, jaccard_join, licenses, packing, quality, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
     "op2_byte_bpe": bpe.query,
     "op3_order_minhash": fingerprints.query,
     "op4_best_fit_packing": packing.query,
+    "op5_html_text": html_text.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_quality": quality.query,
     "op7_license_scan": licenses.query,
