@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, html_text, jaccard_join, licenses, packing, quality, warc
+from . import bpe, exact_dedup, fingerprints, html_text, jaccard_join, licenses, lm_score, packing, quality, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op10_quality": quality.query,
     "op7_license_scan": licenses.query,
+    "op8_lm_score": lm_score.query,
     "op9_warc": warc.query,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_license_scan": licenses.ORACLE, "op9_warc": warc.ORACLE}
