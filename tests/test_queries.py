@@ -9,12 +9,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(pdf, columns):
-    def plain(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
-            return None
-        return round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
-
-    return sorted(str(tuple(map(plain, r))) for r in pdf[columns].astype(object).itertuples(index=False, name=None))
+    plain = lambda x: None if x is None else round(float(x), 6) if isinstance(x, (int, float)) else str(x)
+    known = pdf[columns].astype(object).where(pdf[columns].notna(), None)
+    return sorted(str(tuple(map(plain, r))) for r in known.itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="module")
