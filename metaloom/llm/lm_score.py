@@ -6,7 +6,7 @@ isn't scored by itself; a word that no other document has counts `UNSEEN`. A doc
 word before it and takes its share. Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, known by 64-bit hashes.
 
 Pairs are exploded a batch of documents at a time and dealt by hash, packed as arrays, to the partitions of the pair table; a partition
-counts its pairs and returns for each document what its counts add to the document's sum. Pairs that stand in a large part of the documents
+counts its pairs and returns, packed by batch, what its counts add to the documents' sums. Pairs that stand in a large part of the documents
 would meet in one partition: they are found first, counted by partial sums, and looked up where the documents are. Word counts are
 broadcast while those above one fit `WORDS` rows (all other words have one); beyond that they are joined to the documents' distinct words by hash.
 
@@ -56,7 +56,7 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             words, first = word_hashes(*text_buffer(batch.column(0)))
             waiting.append(words)
             held += len(words)
-            if held > 1 << 22:
+            if held > 1 << 23:
                 yield _counted(waiting, "word")
                 waiting, held = [], 0
             keys, _, _ = _pairs(words, first)
@@ -106,18 +106,33 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-_DEALT = "part int, row binary, doc_id binary, known binary, words binary, base binary, at binary, key binary, excess binary, n binary"
+#: Documents of a batch, which one byte tells apart.
+DOCS = 256
+_DEALT = "part int, first long, at binary, key binary, excess binary, n binary"
+_SUMS = "first long, doc_id binary, known binary, words binary, sum binary"
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by planes of bytes; the two highest planes hardly change and are compressed."""
+    planes = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    high = zlib.compress(planes[6:].tobytes(), 1)
+    return len(high).to_bytes(4, "little") + high + planes[:6].tobytes()
+
+
+def _keys(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[4 + size :] + zlib.decompress(data[4 : 4 + size]), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
 def _deal(docs: DataFrame, shared: Broadcast, parts: int, joined: bool) -> DataFrame:
     """Arrays for each partition: of a batch's documents their row, id and sum if every word backed off, and its pairs with what a match changes, less the pair's own logarithm."""
     bits = parts.bit_length() - 1
-    names = [f.split()[0] for f in _DEALT.split(", ")]
-    kinds = [pa.int32()] + [pa.binary()] * 9
+    schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("at", pa.binary()), ("key", pa.binary()), ("excess", pa.binary()), ("n", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, word_keys, word_counts, often_keys, often_counts = shared.value
-        for batch in batches(it, 2 << 20):
+        for batch in (b.slice(i, DOCS) for b in batches(it, 2 << 20) for i in range(0, b.num_rows, DOCS)):
             words, first = word_hashes(*text_buffer(batch.column(2)))
             size = np.diff(first)
             text = np.repeat(np.arange(batch.num_rows), size)
@@ -148,29 +163,35 @@ def _deal(docs: DataFrame, shared: Broadcast, parts: int, joined: bool) -> DataF
             order = np.argsort(k)
             k, d, n, excess = k[order], d[order], n[order], excess[order]
             bounds = np.searchsorted((k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64), np.arange(parts + 1))
-            row = batch.column(0).to_numpy(zero_copy_only=False)
+            row = int(batch.column(0)[0].as_py())
             doc_id, known = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            home = int(row[0]) % parts if len(row) else 0
-            out = [[home, row.astype("<i8").tobytes(), doc_id.astype("<i8").tobytes(), known.tobytes(), size.astype("<i8").tobytes(), base.astype("<f8").tobytes(), None, None, None, None]]
+            # the batch itself: ids, word counts and sums stand in the columns of the pairs
+            out = [[row % parts, row, doc_id.astype("<i8").tobytes() + known.tobytes(), None, base.astype("<f8").tobytes(), size.astype("<i8").tobytes()]]
             for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if b > a:
-                    docs_here, at = np.unique(d[a:b], return_inverse=True)
-                    out.append([part, row[docs_here].astype("<i8").tobytes(), None, None, None, None, at.astype("<u2").tobytes(), k[a:b].tobytes(), excess[a:b].astype("<f4").tobytes(), zlib.compress(n[a:b].astype("<u4").tobytes(), 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out.append([part, row, d[a:b].astype(np.uint8).tobytes(), _packed_keys(k[a:b]), excess[a:b].astype("<f4").tobytes(), zlib.compress(n[a:b].astype("<u4").tobytes(), 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, _DEALT)
 
 
+_SUMS_SCHEMA = pa.schema([("first", pa.int64()), ("doc_id", pa.binary()), ("known", pa.binary()), ("words", pa.binary()), ("sum", pa.binary())])
+
+
 def _add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts a partition's pairs and adds what they are worth to the documents' sums."""
-    names = ["row", "doc_id", "n_words", "sum"]
+    """Counts each partition's pairs and adds what they are worth to the documents' sums, a row for a batch of documents."""
     here, held = None, []
+    sums: dict[int, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if sums:
+            n = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.nulls(n, pa.binary())] * 3, pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], schema=_SUMS_SCHEMA)
+            sums.clear()
 
-    def settle() -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(r, "<i8") for r, _, _, _, _ in held]
-        first = np.cumsum([0, *map(len, rows)])
-        at = np.concatenate([np.frombuffer(a, "<u2").astype(np.int64) + f for (_, a, _, _, _), f in zip(held, first, strict=False)])
-        key = np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _, _ in held])
+    def settle() -> None:
+        key = np.concatenate([_keys(x) for _, _, x, _, _ in held])
+        at = np.concatenate([np.frombuffer(a, np.uint8).astype(np.int64) + i * DOCS for i, (_, a, _, _, _) in enumerate(held)])
         excess = np.concatenate([np.frombuffer(e, "<f4") for _, _, _, e, _ in held])
         n = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for _, _, _, _, x in held]).astype(np.int64)
         order = np.argsort(key, kind="stable")
@@ -181,25 +202,52 @@ def _add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = count - n
         match = others > 0
         change = n[match] * (np.log(others[match]) - excess[match])
-        sums = np.bincount(at[match], change, minlength=first[-1])
-        touched = np.bincount(at[match], minlength=first[-1]) > 0
-        row = np.concatenate(rows)[touched]
-        yield pa.RecordBatch.from_arrays([_long(row), pa.nulls(len(row), pa.int64()), pa.array(np.zeros(len(row), np.int64)), pa.array(sums[touched])], names=names)
+        added = np.bincount(at[match], change, minlength=len(held) * DOCS).reshape(-1, DOCS)
+        for (first, *_), x in zip(held, added, strict=True):
+            sums[first] = sums[first] + x if first in sums else x
 
     for batch in it:
         for i in range(batch.num_rows):
-            part, row, doc_id, known, words, base, at, key, excess, n = (batch.column(c)[i].as_py() for c in range(10))
+            part, first, at, key, excess, n = (batch.column(c)[i].as_py() for c in range(6))
             if part != here and held:
-                yield from settle()
+                settle()
                 held = []
+                if len(sums) > 1 << 14:
+                    yield from flush()
             here = part
             if key is None:
-                valid = np.frombuffer(known, bool)
-                yield pa.RecordBatch.from_arrays([_long(np.frombuffer(row, "<i8")), pa.array(np.frombuffer(doc_id, "<i8"), mask=~valid), _long(np.frombuffer(words, "<i8")), pa.array(np.frombuffer(base, "<f8"))], names=names)
+                size = len(n)
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *[pa.array([x], pa.binary()) for x in (at[:size], at[size:], n, excess)]], schema=_SUMS_SCHEMA)
             else:
-                held.append((row, at, key, excess, n))
+                held.append((first, at, key, excess, n))
     if held:
-        yield from settle()
+        settle()
+    yield from flush()
+
+
+def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of one batch of documents, which come together, and its documents' scores."""
+    here, total, own = None, np.zeros(DOCS), None
+
+    def scores() -> pa.RecordBatch:
+        doc_id, known, words, base = own
+        doc_id, words = np.frombuffer(doc_id, "<i8"), np.frombuffer(words, "<i8")
+        value = (np.frombuffer(base, "<f8") + total[: len(doc_id)]) / np.maximum(words, 1)
+        return pa.RecordBatch.from_arrays([pa.array(doc_id, mask=~np.frombuffer(known, bool)), pa.array(words), pa.array(np.where(words > 0, value, 0.0))], names=["doc_id", "n_words", "score"])
+
+    for batch in it:
+        for i in range(batch.num_rows):
+            first, *rest = (batch.column(c)[i].as_py() for c in range(5))
+            if first != here and own is not None:
+                yield scores()
+            if first != here:
+                here, total, own = first, np.zeros(DOCS), None
+            if rest[0] is None:
+                total += np.frombuffer(rest[3], "<f8")
+            else:
+                own = rest
+    if own is not None:
+        yield scores()
 
 
 def _distinct_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -239,8 +287,8 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((total, *table_, *often))
     parts = 1 << max(0, (total // PAIRS).bit_length())
     dealt = _deal(docs, shared, parts, joined).repartition("part").sortWithinPartitions("part")
-    sums = dealt.mapInArrow(_add_up, "row long, doc_id long, n_words long, sum double").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("sum").alias("sum"))
-    return sums.select("doc_id", "n_words", (F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(F.lit(0.0))).alias("score"))
+    sums = dealt.mapInArrow(_add_up, _SUMS).repartition("first").sortWithinPartitions("first")
+    return sums.mapInArrow(_finish, "doc_id long, n_words long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
