@@ -8,7 +8,7 @@ numerator / denominator; what is returned are the classes that the links connect
 * Prefix. Sets that link share t = ceil(share * size) elements at least, so their first size - t + m elements share m, for every m up
   to t. A document picks the m with the lowest estimated cost - elements met in the lists of its prefix, plus comparisons with the
   documents met m times - so a prefix of common elements is lengthened and asks for more shared elements in return.
-* Candidates. Elements that stand in one prefix only are dropped. Groups of near copies are settled in rounds that stay linear in the
+* Candidates. Elements that stand in one prefix only are dropped, and then documents with fewer elements left than any pair must share. Groups of near copies are settled in rounds that stay linear in the
   group: for each element the document with the most shared elements leads, every other document is compared with the leader it shares most
   elements with, and linked documents form components. Documents that are merely related to their leader (`RELATED`) form families.
 * Families. Within a family a document is described by its difference from the family's lead, the elements of one but not the other.
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import batches, columns_of, components, mix, shingle_hashes, small_batches, stash, table, text_buffer, word_hashes
 
 #: Counters of the sketch, and how many travel in one row.
-SKETCH_BITS, CHUNK_BITS = 22, 18
-#: Most prefix elements that a document may ask to share; the cost of a comparison in list elements; pairs of a leader in one part; rounds.
-MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 4.0, 64, 2
+SKETCH_BITS, CHUNK_BITS = 21, 18
+#: Least and most prefix elements that a document asks to share; the cost of a comparison in list elements; pairs of a leader in one part; rounds.
+LEAST_MATCHES, MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 15, 4.0, 64, 1
 #: Similarity from which a document belongs to its leader's family.
 RELATED = 0.3
 #: Occurrences from which an element's list is dealt to several tasks.
@@ -113,11 +113,12 @@ def prefix(s: np.ndarray, estimate: np.ndarray, noise: float, numerator: int, de
     least = -(-numerator * n // denominator)
     order = np.lexsort((s, estimate))
     most = min(MOST_MATCHES, least)
+    fewest = min(LEAST_MATCHES, least)
     base = n - least
     met = np.cumsum(np.maximum(estimate[order[: base + most]] - noise - 1, 0.0))
-    matches = np.arange(1, most + 1)
+    matches = np.arange(fewest, most + 1)
     cost = met[base + matches - 1] * (1 + COMPARE_COST / matches) + matches
-    chosen = int(cost.argmin()) + 1
+    chosen = int(cost.argmin()) + fewest
     size = base + chosen
     return s[order[:size]], np.maximum(np.arange(size) - base + 1, 1), chosen
 
@@ -265,10 +266,13 @@ def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     aliases = stash(rows.join(classes, ["n", "d1", "d2"]).where("doc_id <> first").select("doc_id", "first").distinct())
     sketch = spark.sparkContext.broadcast(_sketch(described))
-    postings = _postings(docs, k, ratio, sketch).join(aliases, "doc_id", "left")
-    postings = stash(postings.select("token", F.coalesce("first", "doc_id").alias("doc"), F.shiftright("packed", 8).alias("n"), F.shiftright("packed", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("packed").bitwiseAND(F.lit(15)).alias("matches")).distinct())
-    weight = postings.groupBy("doc").agg(F.count("*").alias("weight"))
-    postings = stash(postings.join(weight, "doc"))
+    postings = _postings(docs, k, ratio, sketch).withColumn("n", F.shiftright("packed", 8))
+    # a partner's size is at least the share of the document's, and so bounds what it may ask for
+    fewest = F.least(F.lit(LEAST_MATCHES), F.ceil(F.col("n") * numerator / denominator * numerator / denominator - 1e-9))
+    weight = postings.groupBy("doc_id").agg(F.count("*").alias("weight"), F.max(fewest).alias("fewest")).where("weight >= fewest").select("doc_id", "weight")
+    postings = postings.join(weight, "doc_id").join(aliases, "doc_id", "left")
+    postings = postings.groupBy("token", F.coalesce("first", "doc_id").alias("doc")).agg(F.max("n").alias("n"), F.max("packed").alias("packed"), F.max("weight").alias("weight"))
+    postings = stash(postings.select("token", "doc", "n", F.shiftright("packed", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("packed").bitwiseAND(F.lit(15)).alias("matches"), "weight"))
     similar = lambda x, y: F.least(x, y) * denominator >= F.greatest(x, y) * numerator
     met = None
     open_ = postings.withColumn("component", F.col("doc"))
