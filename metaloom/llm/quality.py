@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, small_batches, table, text_buffer, word_hashes
 
-SAMPLE, NEIGHBOURS, RANK, POWER, THRESHOLD = 4000, 25, 64, 4, 0.7
+SAMPLE, NEIGHBOURS, RANK, POWER, THRESHOLD = 3000, 25, 64, 4, 0.7
 _HASHED, _CLASSES, _RATIOS, _STEPS = 1 << 11, 12, 9, 16
 _SHAPES = _CLASSES**3
 TERMS = _HASHED + _SHAPES + _RATIOS * _STEPS
