@@ -40,7 +40,7 @@ from .common import batches, columns_of, components, mix, shingle_hashes, small_
 #: Counters of the sketch, and how many travel in one row.
 SKETCH_BITS, CHUNK_BITS = 21, 18
 #: Least and most prefix elements that a document asks to share; the cost of a comparison in list elements; pairs of a leader in one part; rounds.
-LEAST_MATCHES, MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 15, 4.0, 64, 1
+LEAST_MATCHES, MOST_MATCHES, COMPARE_COST, PART, ROUNDS = 8, 15, 4.0, 64, 2
 #: Similarity from which a document belongs to its leader's family.
 RELATED = 0.3
 #: Occurrences from which an element's list is dealt to several tasks.
@@ -279,7 +279,7 @@ def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame
     for turn in range(ROUNDS):
         # elements of one component are settled
         leads = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("doc", "n", "component"), F.struct("weight", F.xxhash64("doc", F.lit(turn)))).alias("lead")).where("low <> high").select("token", "lead")
-        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.first("matches").alias("matches")).where("shared >= matches")
+        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.first("matches").alias("matches")).where("2 * shared >= matches")
         found = stash(_compare(docs, stash(led.groupBy("b").agg(F.max_by("a", F.struct("shared", F.xxhash64("a"))).alias("a")).select("a", "b")), k, ratio))
         met = found if met is None else met.union(found)
         members = components(met.where("linked").select("a", "b")).withColumnRenamed("node", "doc")

@@ -143,9 +143,9 @@ def _deal(docs: DataFrame, shared: Broadcast, parts: int, joined: bool) -> DataF
             times = np.diff(np.r_[start, len(w)])
             if joined:
                 given = batch.column(3)
-                known = np.frombuffer(b"".join(x or b"" for x in given.to_pylist()), np.dtype([("w", "<u8"), ("n", "<i8")]))
-                pos = np.lexsort((known["w"],))
-                counts = _look_up(known["w"][pos], known["n"][pos], w[start], 1)
+                known = np.frombuffer(b"".join(x or b"" for x in given.to_pylist()), np.dtype([("w", ">u8"), ("n", ">i8")]))
+                found, at_first = np.unique(known["w"].astype(np.uint64), return_index=True)
+                counts = _look_up(found, known["n"][at_first].astype(np.int64), w[start], 1)
             else:
                 counts = _look_up(word_keys, word_counts, w[start], 1)
             own = np.empty(len(words))
@@ -261,8 +261,8 @@ def _distinct_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_long(row), _long(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))], names=["row", "word"])
 
     found = docs.select("row", "text").mapInArrow(run, "row long, word long").join(counts, "word")
-    little = lambda c: F.reverse(F.unhex(F.lpad(F.hex(c), 16, "0")))
-    packed = found.groupBy("row").agg(F.collect_list(F.concat(little("word"), little("n"))).alias("c")).select("row", F.unhex(F.array_join(F.transform("c", F.hex), "")).alias("counts"))
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    packed = found.groupBy("row").agg(F.collect_list(F.concat(digits("word"), digits("n"))).alias("c")).select("row", F.unhex(F.array_join("c", "")).alias("counts"))
     return docs.join(packed, "row", "left").select("row", "doc_id", "text", "counts")
 
 
