@@ -98,13 +98,13 @@ def _sketch(described: DataFrame) -> np.ndarray:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
         for chunk, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()], pa.binary())], names=["chunk", "counts"])
 
     rows = described.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
+    out = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int32)
     for row in rows.toLocalIterator():
-        out[row["chunk"]] += np.frombuffer(row["counts"], "<i8")
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+        out[row["chunk"]] = np.frombuffer(row["counts"], "<i4")
+    return out.ravel()
 
 
 def prefix(s: np.ndarray, estimate: np.ndarray, noise: float, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray, int]:
