@@ -170,9 +170,9 @@ def _with_leaders(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts dealt by leader for pairs (a, b), a leading: leader, part, role (0: the leader's own text, which comes first), doc_id, text."""
     spark = docs.sparkSession
     mask = (1 << _MAP_BITS) - 1
-    ids = pairs.select("a").union(pairs.select("b")).select(F.col("a").bitwiseAND(F.lit(mask)).alias("bit")).distinct().collect()  # 2**_MAP_BITS rows at most
+    ids = pairs.select("a").union(pairs.select("b")).select(F.col("a").bitwiseAND(F.lit(mask)).cast("int").alias("bit")).distinct().toArrow()  # 2**_MAP_BITS rows at most
     bits = np.zeros(1 << _MAP_BITS, bool)
-    bits[[r[0] for r in ids]] = True
+    bits[ids.column(0).to_numpy()] = True
     wanted = spark.sparkContext.broadcast(bits)
 
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
