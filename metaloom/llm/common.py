@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,11 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/metaloom-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the plans, broadcasts and shuffle files of finished steps, which Spark removes once a collection finds them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, schema: str | None = None) -> DataFrame:
     """Writes df below the shared folder and reads it back, which cuts its lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
