@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from ..functions import probes
 from ..operators import catalog, checks, graph, sequences, texts
 from ..streaming import sessions
 from . import service
 
-_MODULES = (catalog, checks, sequences, texts, graph, service, sessions)
+_MODULES = (catalog, checks, sequences, texts, graph, service, sessions, probes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
