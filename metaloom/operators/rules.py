@@ -67,7 +67,7 @@ def rule_large_objects(spark: SparkSession, d: str) -> DataFrame:
 def rule_unused_in_segment(spark: SparkSession, d: str) -> DataFrame:
     """Nations and segments without customer or without any order."""
     segments = load(spark, d, "customer").select("c_mktsegment").distinct()
-    spine = load(spark, d, "nation").select("n_nationkey", F.lit(1).alias("k")).join(F.broadcast(segments.withColumn("k", F.lit(1)).hint("broadcast")), "k").drop("k")
+    spine = load(spark, d, "nation").select("n_nationkey", F.lit(1).alias("k")).join(segments.withColumn("k", F.lit(1)), "k").drop("k")
     ordering = load(spark, d, "customer").join(load(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct()
     return spine.join(ordering, ["n_nationkey", "c_mktsegment"], "left_anti")
 
