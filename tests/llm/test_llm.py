@@ -168,6 +168,20 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0 and exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+def _texts(spark, pages):
+    rows = spark.createDataFrame([(n, "http://h.example/", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_text.main_text(rows).orderBy("page_id").collect()]
+
+
+def test_html_text_keeps_the_end_of_copied_articles(spark):
+    """Six copies of a long article, html not identical, among twelve short ones: no paragraph is template."""
+    page = lambda ad, words: f'<body><div class="ad">{ad}</div><article>' + "".join(f"<p>{w}</p>" for w in words) + "</article>"
+    long = [f"long{i}" for i in range(9)]
+    near = [[f"near{n}", *long[1:]] for n in range(3)]
+    pages = [page(n, long) for n in range(6)] + [page(0, w) for w in near] + [page(0, [f"a{n}", f"b{n}"]) for n in range(12)]
+    assert _texts(spark, pages) == [" ".join(long)] * 6 + [" ".join(w) for w in near] + [f"a{n} b{n}" for n in range(12)]
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
