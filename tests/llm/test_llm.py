@@ -182,6 +182,16 @@ def test_html_text_keeps_the_end_of_copied_articles(spark):
     assert _texts(spark, pages) == [" ".join(long)] * 6 + [" ".join(w) for w in near] + [f"a{n} b{n}" for n in range(12)]
 
 
+def test_html_text_counts_do_not_depend_on_the_first_page(spark):
+    """39 of 40 pages share an unmarked notice; the page that lacks it may come first, and pages may be dealt in any way."""
+    pages = [f"<article><p>{'odd' if n == 0 else 'notice'}</p><h1>t{n}</h1></article>" for n in range(40)]
+    want = ["odd t0", *(f"t{n}" for n in range(1, 40))]
+    rows = [(n, "http://h.example/", p) for n, p in enumerate(pages)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1) if parts == 1 else spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(parts)
+        assert [r["text"] for r in html_text.main_text(df).orderBy("page_id").collect()] == want
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
