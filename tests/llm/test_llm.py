@@ -192,6 +192,19 @@ def test_html_text_counts_do_not_depend_on_the_first_page(spark):
         assert [r["text"] for r in html_text.main_text(df).orderBy("page_id").collect()] == want
 
 
+def test_html_text_marks():
+    """Marks are whole tokens; nothing around an article is dropped for one, nor an article's headers, headings and inline elements."""
+    text = lambda source: html_text.extract(html_text.parse(source), None)
+    for name in ("layout has-sidebar", "no-sidebar", "widget", "sidebar"):
+        assert text(f'<div class="{name}"><article><p>A</article></div>') == "A"
+        assert text(f'<div class="{name}"><main><p>A</main></div>') == "A"
+    assert text('<form id="form"><article>A</article></form><div class="comments"><article class="comment">c</article></div>') == "A"
+    kept = '<div class="article-header"><h1>A</h1></div><header class="entry-header">B</header><header class="header">C</header><h2 id="related-work">D</h2><h2 class="related">E</h2><section id="notice-period">F</section><p>x<span class="search-term">G</span>y <b class="ad">H</b></p><div class="header">I</div>'
+    assert text(f"<article>{kept}</article>") == "A B C D E F xGy H I"
+    dropped = '<div class="ad">a</div><div class="big ad-banner">b</div><div id="cookie-notice">c</div><ul role="navigation"><li>d</ul><section class="comments">e</section>'
+    assert text(f"<article>A{dropped}</article>") == "A" and text(f"A{dropped}<header>f</header><span class=ad>g</span>") == "A"
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
