@@ -205,6 +205,12 @@ def test_html_text_marks():
     assert text(f"<article>A{dropped}</article>") == "A" and text(f"A{dropped}<header>f</header><span class=ad>g</span>") == "A"
 
 
+def test_html_text_of_large_pages_has_a_template(spark):
+    """Pages of more than 4096 blocks each still share a template."""
+    pages = [f"<article><p>notice</p><table>{''.join(f'<tr><td>{n}-{i}</td></tr>' for i in range(2100))}</table></article>" for n in range(6)]
+    assert _texts(spark, pages) == [" ".join(f"{n}-{i}" for i in range(2100)) for n in range(6)]
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
