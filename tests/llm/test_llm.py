@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import os
 import re
 from collections import Counter
 
@@ -219,6 +220,20 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licenses_wrapped_and_long(spark):
+    isc = f"ISC License\n\nCopyright Someone\nCopyright (c) 2020, Other\n\n{licenses._ISC_GRANT}, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n{licenses._ISC_DISCLAIMER}"
+    bsd = f"{licenses._BSD_GRANT}\n\n{licenses._BSD_THIRD}\n\n{licenses._BSD_DISCLAIMER}".replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("BY THE COPYRIGHT", "BY THE\nCOPYRIGHT")
+    texts = {"ISC": isc, "BSD-3-Clause": bsd}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(path := f"/usr/share/common-licenses/{file}"):
+            with open(path, encoding="utf-8") as f:
+                texts[name] = f.read()
+    rows = [*enumerate(texts.values()), (99, "a\nSPDX-License-Identifier: MIT\nThis project is licensed under the GPLv3.")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in range(len(texts))] == list(texts) and got[99]["notice_ids"] == "GPL-3.0,MIT"
+    assert all(got[i]["canonical_sha256"] == hashlib.sha256(licenses.canonical(t).encode()).hexdigest() for i, t in rows)
+
+
 @pytest.mark.parametrize("limit", [lm_score.WORDS, 0])
 def test_lm_score(docs, monkeypatch, limit):
     monkeypatch.setattr(lm_score, "WORDS", limit)
