@@ -77,7 +77,7 @@ def work_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_bursts(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of a type's events with gaps of at most ten minutes, from twelve events on."""
+    """Runs of a type's events with gaps of at most ten minutes, from five events on."""
     order = Window.partitionBy("event_type").orderBy("us", "event_id")
     fresh = F.when(F.col("us") - F.lag("us").over(order) <= 600_000_000, 0).otherwise(1)
     runs = _events(spark, d).withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -85,11 +85,22 @@ def change_bursts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bulk_events(spark: SparkSession, d: str) -> DataFrame:
-    """Bursts of all types chained where they begin within 15 minutes of the end of what came before; of two types at least."""
-    order = Window.partitionBy(F.date_trunc("month", F.timestamp_micros("first_us"))).orderBy("first_us", "event_type", "burst")
-    reach = F.max("last_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chained = change_bursts(spark, d).withColumn("fresh", F.when(F.col("first_us") - reach <= 900_000_000, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    by = chained.groupBy(F.date_format(F.timestamp_micros("first_us"), "yyyy-MM").alias("month"), "chain").agg(F.count_distinct("event_type").alias("n_types"), F.sum("n_events").alias("n_events"), F.max("n_events").alias("largest"), F.min("first_us").alias("first_us"))
+    """Bursts of all types chained where they begin within 15 minutes of the end of what came before; of two types at least.
+
+    Months are chained by themselves, with the largest end of earlier months and the chain that is open there carried in; a chain has
+    the month in which it begins and its number there.
+    """
+    bursts = change_bursts(spark, d).withColumn("month", F.date_format(F.timestamp_micros("first_us"), "yyyy-MM"))
+    order = Window.partitionBy("month").orderBy("first_us", "event_type", "burst")
+    earlier = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # over one row a month
+    ends = bursts.groupBy("month").agg(F.max("last_us").alias("end")).select("month", F.max("end").over(earlier).alias("carry"))
+    reach = F.greatest(F.max("last_us").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
+    fresh = bursts.join(F.broadcast(ends), "month").withColumn("fresh", F.when(F.col("first_us") - reach <= 900_000_000, 0).otherwise(1))
+    begun = F.last(F.when(F.col("n") > 0, F.struct("month", F.col("n").alias("chain"))), ignorenulls=True).over(earlier)
+    starts = fresh.groupBy("month").agg(F.sum("fresh").alias("n")).select("month", begun.alias("begun"))
+    local = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chained = fresh.join(F.broadcast(starts), "month").withColumn("local", local).withColumn("of", F.when(F.col("local") > 0, F.struct("month", F.col("local").alias("chain"))).otherwise(F.col("begun")))
+    by = chained.groupBy(F.col("of.month").alias("month"), F.col("of.chain").alias("chain")).agg(F.count_distinct("event_type").alias("n_types"), F.sum("n_events").alias("n_events"), F.max("n_events").alias("largest"), F.min("first_us").alias("first_us"))
     return by.where("n_types >= 2").select("month", "chain", "n_types", "n_events", "first_us", F.when(F.col("largest") >= 0.8 * F.col("n_events"), "paste").otherwise("mass").alias("kind"))
 
 

@@ -1,7 +1,9 @@
 """Operators on small hand-made inputs."""
 
 from metaloom.operators.graph import walk
+from metaloom.operators.sequences import bulk_events
 from metaloom.plans.service import page, search
+from pyspark.sql import functions as F
 
 
 def test_walk_ends_on_cycles(spark):
@@ -17,3 +19,14 @@ def test_page_and_search(spark):
     assert [r["id"] for r in page(df, "name", 9, 3).collect()] == [2]
     assert [r["id"] for r in search(df, " B ").collect()] == [1]
     assert search(df, "").count() == 4
+
+
+def test_bulk_events_chain_over_the_end_of_a_month(spark, tmp_path):
+    """Clicks until 23:59 of one month and views from 00:01 of the next are one mass event; a later one counts from 1 again."""
+    at = lambda start, kind, n: [(f"{start}:{i:02}", kind) for i in range(n)]
+    events = at("2024-01-31 23:59", "click", 6) + at("2024-02-01 00:01", "view", 6) + at("2024-02-09 08:00", "click", 5) + at("2024-02-09 08:01", "view", 5)
+    rows = [(i, ts, 1, kind, 0.0) for i, (ts, kind) in enumerate(events)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = bulk_events(spark, str(tmp_path)).orderBy("month").collect()
+    assert [(r["month"], r["chain"], r["n_types"], r["n_events"], r["kind"]) for r in got] == [("2024-01", 1, 2, 12, "mass"), ("2024-02", 1, 2, 10, "mass")]
