@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -33,28 +34,71 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary folder serves only where that setting is unset (local tests)."""
+    """A new folder name below spark.checkpoint.dir, which all executors share; it must be set, since no local folder can stand in for it on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="metaloom-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/metaloom-{uuid.uuid4().hex}"
 
 
+#: Seconds between collections that are asked for.
+RELEASE_SECONDS = 2.0
+_last: dict[str, float] = {}
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver drop the plans, broadcasts and shuffle files of finished steps, which Spark removes once a collection finds them unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _last.get("release", 0.0) > RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last["release"] = time.monotonic()
+
+
+#: Hadoop's checksummed local file system starts a chmod process for each file, and a process just started counts its parent's memory again; the raw one starts none.
+#: Other file systems aren't touched. A folder is complete when write() has returned, so no marker file is needed.
+_WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+#: Folders that this process has written and not discarded.
+_written: list[str] = []
 
 
-def stash(df: DataFrame, schema: str | None = None) -> DataFrame:
+def stash(df: DataFrame) -> DataFrame:
     """Writes df below the shared folder and reads it back, which cuts its lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.options(**_WRITE).parquet(path)
+    _written.append(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of stashed tables; all that reads them must have been written before."""
+    for df in frames:
+        if (path := getattr(df, "_stashed", None)) in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at the end what was stashed inside, but for the tables that the caller has put into the list."""
+    before, keep = set(_written), []
+    yield keep
+    for path in [p for p in _written if p not in before and p not in {k._stashed for k in keep}]:
+        _written.remove(path)
+        _delete(spark, path)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df dealt anew before a join by the key that it was grouped by: both sides are then shuffled for the join alone, so that Spark may split a hot key's rows."""
+    return df.hint("rebalance")
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,19 +197,25 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *worlds: str) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node reachable.
 
-    Large-star and small-star steps over written tables until nothing changes; a node's neighbours are only aggregated, never gathered.
+    worlds: columns whose values keep graphs apart, all settled at once. Edges with a null end and loops take no part; repeated
+    edges count once; no edges give no rows. Large-star and small-star steps over written tables until nothing changes; a node's
+    neighbours are only aggregated, never gathered, and a hub's rows may be split where they are joined.
     """
-    current = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while (state := current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).first()) != seen:
-        seen = state
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        current = stash(small.distinct())
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v"), F.col("v"))).distinct()
+    edges = edges.where("a <> b").select(*worlds, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    current, seen, key = stash(edges.distinct()), None, [*worlds, "u"]
+    least = F.least("u", "m").alias("m")
+    flipped = [*worlds, F.col("v").alias("u"), F.col("m").alias("v")]
+    while (state := current.agg(F.count("*"), F.bit_xor(F.xxhash64(*key, "v")), F.bit_xor(F.xxhash64("v", *key))).first()) != seen:
+        seen, before = state, current
+        both = before.union(before.select(*worlds, F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = apart(both.groupBy(*key).agg(F.min("v").alias("m")).select(*key, least))
+        large = stash(both.where("v > u").join(lowest, key).select(*flipped).distinct())
+        low = large.groupBy(*key).agg(F.min("v").alias("m"))
+        small = large.join(apart(low), key).where("v <> m").select(*flipped)
+        current = stash(small.union(low.select(*key, F.col("m").alias("v"))).distinct())
+        discard(before, large)
+    ends = current.select(*worlds, F.col("v").alias("u"), "v").distinct()
+    return current.union(ends).select(*worlds, F.col("u").alias("node"), F.col("v").alias("component"))

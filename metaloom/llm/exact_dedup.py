@@ -1,14 +1,14 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every input partition makes one run: its distinct text digests with the row to keep and the number of rows. In each round
-`FAN_IN` neighbouring nodes of the tree exchange their runs, dealt by digest so that no task holds a whole node; the runs are
-merged in digest order and equal digests collapse to their smallest row, after a check that their lengths and a second,
+Every input partition makes one run: its distinct text digests with the row to keep and the number of rows. The rounds are those of
+a binomial tree: in each the nodes with numbers 2i and 2i + 1 exchange their runs, dealt by digest so that no task holds a whole
+node; the runs are merged in digest order and equal digests collapse to their smallest row, after a check that their lengths and a second,
 independent hash agree. Any number of rows of one text thus shrinks to one row for each partition before the first exchange
 and to one for each node after every round.
 
 Texts are equal when identical after each `[\\x20\\x09-\\x0D]+` became one space; null counts as empty. Of rows that
-share a text, the one with the smallest doc_id stays; null ids count as largest, and of rows that share the id too one stays.
-An empty table gives an empty result. Columns other than doc_id and text take no part.
+share a text, the one with the smallest doc_id stays; null ids count as largest, and of rows that share the id too the first by
+partition and place stays. Only a batch of texts is in memory at a time, however long they are. An empty table gives an empty result. Columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, small_batches, stash, table
 
-FAN_IN = 16
+#: Runs that are merged in a round.
+FAN_IN = 2
 _WHITE = b" \t\n\x0b\x0c\r"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("second", pa.int64())])
 _RUNS = "node long, digest binary, size long, second long, keep_id long, keep_part long, keep_row long, n long"
@@ -53,27 +55,27 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges rows that arrive in order of (node, digest, keep_id with nulls last, keep_part, keep_row); one row is held back."""
+    """Merges rows that arrive in order of (node, digest, keep_id with nulls last, keep_part, keep_row); the last run is held back."""
     held = None
     for batch in it:
-        out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if held is not None and held[0] == row[0] and held[1] == row[1]:
-                if held[2] != row[2] or held[3] != row[3]:
-                    raise ValueError("two texts share a digest but not their length and second hash")
-                held[7] += row[7]
-            else:
-                if held is not None:
-                    out.append(held)
-                held = list(row)
-        if out:
-            yield _runs(out, batch.schema)
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        node, digest = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object)
+        start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (digest[1:] != digest[:-1])])
+        rows = np.diff(np.r_[start, len(node)])
+        for c in (2, 3):  # sizes and second hashes
+            values = batch.column(c).to_numpy(zero_copy_only=False)
+            if (values != np.repeat(values[start], rows)).any():
+                raise ValueError("two texts share a digest but not their length and second hash")
+        n = np.add.reduceat(batch.column(7).to_numpy(zero_copy_only=False), start)
+        first = batch.take(pa.array(start))
+        merged = pa.RecordBatch.from_arrays([*(first.column(i) for i in range(7)), pa.array(n, pa.int64())], schema=batch.schema)
+        held = merged.slice(merged.num_rows - 1)
+        yield merged.slice(0, merged.num_rows - 1)
     if held is not None:
-        yield _runs([held], batch.schema)
-
-
-def _runs(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        yield held
 
 
 def _in_order(df: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def assign(docs: DataFrame) -> DataFrame:
     rows = stash(columns_of(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_digests, "doc_id long, part long, row long, digest binary, size long, second long"))
     level = rows.select(F.col("part").alias("node"), "digest", "size", "second", F.col("doc_id").alias("keep_id"), F.col("part").alias("keep_part"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"))
     # the leaves' runs: a file holds rows of few parts, and rows of one part may be spread over tasks, so the first exchange follows at once
-    local = level = _in_order(level).mapInArrow(_merge, _RUNS)
+    local = level = stash(_in_order(level).mapInArrow(_merge, _RUNS))
     widest = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level = level.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
@@ -95,6 +97,7 @@ def assign(docs: DataFrame) -> DataFrame:
             break
         widest = -(-widest // FAN_IN)
     final = level.select("digest", "keep_id", "keep_part", "keep_row", F.col("n").alias("group_size"))
+    # a digest stands in a leaf once for each task that read it, and once in the root
     leaves = local.select("node", "digest").distinct().join(final, "digest").withColumnRenamed("node", "part")
     return rows.join(leaves, ["part", "digest"]).select(
         "doc_id", "part", "row", "keep_id", "group_size",

@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, components, mix, shingle_hashes, small_batches, stash, table, text_buffer, word_hashes
+from .common import apart, batches, columns_of, components, discard, mix, shingle_hashes, small_batches, stash, table, text_buffer, word_hashes
 
 #: Counters of the sketch, and how many travel in one row.
 SKETCH_BITS, CHUNK_BITS = 21, 18
@@ -170,9 +170,12 @@ def _with_leaders(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts dealt by leader for pairs (a, b), a leading: leader, part, role (0: the leader's own text, which comes first), doc_id, text."""
     spark = docs.sparkSession
     mask = (1 << _MAP_BITS) - 1
-    ids = pairs.select("a").union(pairs.select("b")).select(F.col("a").bitwiseAND(F.lit(mask)).cast("int").alias("bit")).distinct().toArrow()  # 2**_MAP_BITS rows at most
-    bits = np.zeros(1 << _MAP_BITS, bool)
-    bits[ids.column(0).to_numpy()] = True
+    bit = F.col("a").bitwiseAND(F.lit(mask))
+    words = pairs.select("a").union(pairs.select("b")).groupBy(F.shiftright(bit, 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(a & 63 as int))")).alias("bits")).collect()  # 2**_MAP_BITS / 64 rows at most
+    packed = np.zeros(1 << (_MAP_BITS - 6), "<i8")
+    packed[[r["word"] for r in words]] = [r["bits"] for r in words]
+    bits = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
     wanted = spark.sparkContext.broadcast(bits)
 
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +259,75 @@ def _differences(docs: DataFrame, pairs: DataFrame, k: int, ratio: tuple[int, in
     return _with_leaders(docs, pairs).mapInArrow(run, "a long, element long, b long, n long, d long, place long, linked boolean")
 
 
+def _similar(x: Column, y: Column, ratio: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can link."""
+    return F.least(x, y) * ratio[1] >= F.greatest(x, y) * ratio[0]
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Documents (doc_id) whose set is another's, with the smallest document (first) of that set."""
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = apart(classes.where("copies > 1").drop("copies"))
+    return stash(rows.join(classes, ["n", "d1", "d2"]).where("doc_id <> first").select("doc_id", "first").distinct())
+
+
+def _candidates(postings: DataFrame, aliases: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Postings of documents that have as many elements left as any pair must share, copies under one document: token, doc, n, level, matches, weight."""
+    # a partner's size is at least the share of the document's, and so bounds what it may ask for
+    fewest = F.least(F.lit(LEAST_MATCHES), F.ceil(F.col("n") * ratio[0] / ratio[1] * ratio[0] / ratio[1] - 1e-9))
+    weight = postings.groupBy("doc_id").agg(F.count("*").alias("weight"), F.max(fewest).alias("fewest"))
+    postings = postings.join(weight.where("weight >= fewest").select("doc_id", "weight"), "doc_id").join(aliases, "doc_id", "left")
+    postings = postings.groupBy("token", F.coalesce("first", "doc_id").alias("doc"))
+    postings = postings.agg(F.max("n").alias("n"), F.max("packed").alias("packed"), F.max("weight").alias("weight"))
+    level, matches = F.shiftright("packed", 4).bitwiseAND(F.lit(15)), F.col("packed").bitwiseAND(F.lit(15))
+    return stash(postings.select("token", "doc", "n", level.alias("level"), matches.alias("matches"), "weight"))
+
+
+def _led(open_: DataFrame, turn: int, ratio: tuple[int, int]) -> DataFrame:
+    """For each document the leader (a) with which it (b) shares most elements; elements of one component are settled."""
+    lead = F.max_by(F.struct("doc", "n", "component"), F.struct("weight", F.xxhash64("doc", F.lit(turn)), "doc")).alias("lead")
+    leads = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead)
+    leads = apart(leads.where("low <> high").select("token", "lead"))
+    led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & _similar(F.col("n"), F.col("lead.n"), ratio))
+    led = led.groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.first("matches").alias("matches"))
+    best = F.max_by("a", F.struct("shared", F.xxhash64("a"), "a")).alias("a")
+    return stash(led.where("2 * shared >= matches").groupBy("b").agg(best).select("a", "b"))
+
+
+def _within(docs: DataFrame, open_: DataFrame, k: int, ratio: tuple[int, int], sketch: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Links of families' leads (a, b), and pairs (a, b) inside families whose differences leave open whether they link."""
+    numerator, denominator = ratio
+    rank = F.max(F.struct("weight", F.xxhash64("doc"), "doc")).alias("rank")
+    own = stash(open_.groupBy("family", "doc").agg(rank, F.min("component").alias("component")))
+    lead = own.groupBy("family").agg(F.max_by("doc", "rank").alias("a"), F.min("component").alias("c"), F.max("component").alias("d"))
+    lead = apart(lead.where("c <> d").select("family", "a"))
+    followers = stash(own.join(lead, "family").where("doc <> a").select("a", F.col("doc").alias("b")))
+    differences = _differences(docs, followers, k, ratio, sketch)
+    differences = stash(differences.join(own.select(F.col("doc").alias("b"), "component"), "b"))
+    discard(own, followers)
+    columns = ("b", "n", "d", "place", "linked", "component")
+    left, right = (differences.select("a", "element", *[F.col(c).alias(f"{c}{i}") for c in columns]) for i in (1, 2))
+    least = F.greatest(F.lit(1), F.expr(f"div(d1 + d2 - n1 - n2, 2) + ceil({numerator} * (n1 + n2) / {numerator + denominator}D - 1e-9)"))
+    close = left.join(right, ["a", "element"]).where(
+        (F.col("b1") < F.col("b2")) & (F.col("component1") != F.col("component2")) & ~(F.col("linked1") & F.col("linked2"))
+        & _similar(F.col("n1"), F.col("n2"), ratio) & (F.col("place1") <= F.col("d1") - least) & (F.col("place2") <= F.col("d2") - least)
+    )
+    return differences.where("linked").select("a", "b").distinct(), close.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+
+
+def _between(rest: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different families and components that share as many prefix elements as the less demanding of them asks for."""
+    columns = ("doc", "n", "level", "matches", "component", "family")
+    left, right = (rest.select("token", *[F.col(c).alias(f"{c}{i}") for c in columns]) for i in (1, 2))
+    need = F.least("matches1", "matches2")
+    both = left.join(right, "token").where(
+        (F.col("doc1") < F.col("doc2")) & (F.col("component1") != F.col("component2")) & (F.col("family1") != F.col("family2"))
+        & _similar(F.col("n1"), F.col("n2"), ratio) & (F.col("level1") <= need) & (F.col("level2") <= need)
+    )
+    both = both.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+    return both.where("shared >= need").select("a", "b")
+
+
 def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark, ratio = docs.sparkSession, (numerator, denominator)
@@ -263,51 +335,38 @@ def link(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
     described = _describe(docs, k)
     rows = described.where("chunk is null").select("doc_id", "n", "d1", "d2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    aliases = stash(rows.join(classes, ["n", "d1", "d2"]).where("doc_id <> first").select("doc_id", "first").distinct())
+    aliases = _classes(rows)
     sketch = spark.sparkContext.broadcast(_sketch(described))
-    postings = _postings(docs, k, ratio, sketch).withColumn("n", F.shiftright("packed", 8))
-    # a partner's size is at least the share of the document's, and so bounds what it may ask for
-    fewest = F.least(F.lit(LEAST_MATCHES), F.ceil(F.col("n") * numerator / denominator * numerator / denominator - 1e-9))
-    weight = postings.groupBy("doc_id").agg(F.count("*").alias("weight"), F.max(fewest).alias("fewest")).where("weight >= fewest").select("doc_id", "weight")
-    postings = postings.join(weight, "doc_id").join(aliases, "doc_id", "left")
-    postings = postings.groupBy("token", F.coalesce("first", "doc_id").alias("doc")).agg(F.max("n").alias("n"), F.max("packed").alias("packed"), F.max("weight").alias("weight"))
-    postings = stash(postings.select("token", "doc", "n", F.shiftright("packed", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("packed").bitwiseAND(F.lit(15)).alias("matches"), "weight"))
-    similar = lambda x, y: F.least(x, y) * denominator >= F.greatest(x, y) * numerator
-    met = None
-    open_ = postings.withColumn("component", F.col("doc"))
+    listed = _postings(docs, k, ratio, sketch)
+    postings = _candidates(listed.withColumn("n", F.shiftright("packed", 8)), aliases, ratio)
+    discard(listed)
+    # rounds: documents against leaders; what links forms components
+    open_, met, members, rounds = postings.withColumn("component", F.col("doc")), None, None, []
     for turn in range(ROUNDS):
-        # elements of one component are settled
-        leads = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("doc", "n", "component"), F.struct("weight", F.xxhash64("doc", F.lit(turn)))).alias("lead")).where("low <> high").select("token", "lead")
-        led = open_.join(leads, "token").where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.first("matches").alias("matches")).where("2 * shared >= matches")
-        found = stash(_compare(docs, stash(led.groupBy("b").agg(F.max_by("a", F.struct("shared", F.xxhash64("a"))).alias("a")).select("a", "b")), k, ratio))
+        pairs = _led(open_, turn, ratio)
+        found = stash(_compare(docs, pairs, k, ratio))
+        discard(pairs)
+        rounds.append(found)
         met = found if met is None else met.union(found)
-        members = components(met.where("linked").select("a", "b")).withColumnRenamed("node", "doc")
-        open_ = postings.join(members, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    families = components(met.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    open_ = open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
-    mixed = open_.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("family").alias("f"), F.max("family").alias("g")).where("c <> d").select("token", (F.col("f") != F.col("g")).alias("several"))
-    open_ = stash(open_.join(mixed, "token"))
-    # within families
-    own = open_.groupBy("family", "doc").agg(F.max(F.struct("weight", F.xxhash64("doc"), "doc")).alias("rank"), F.min("component").alias("component"))
-    lead = own.groupBy("family").agg(F.max_by("doc", "rank").alias("a"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("family", "a")
-    followers = own.join(lead, "family").where("doc <> a").select("a", F.col("doc").alias("b"))
-    apart = stash(_differences(docs, stash(followers), k, ratio, sketch))
-    apart = apart.join(own.select(F.col("doc").alias("b"), "component"), "b")
-    left, right = (apart.select("a", "element", *[F.col(c).alias(f"{c}{i}") for c in ("b", "n", "d", "place", "linked", "component")]) for i in (1, 2))
-    least = F.expr(f"div(d1 + d2 - n1 - n2, 2) + ceil({numerator} * (n1 + n2) / {numerator + denominator}D - 1e-9)")
-    close = left.join(right, ["a", "element"]).where((F.col("b1") < F.col("b2")) & (F.col("component1") != F.col("component2")) & ~(F.col("linked1") & F.col("linked2")) & similar(F.col("n1"), F.col("n2")) & (F.col("place1") <= F.col("d1") - F.greatest(F.lit(1), least)) & (F.col("place2") <= F.col("d2") - F.greatest(F.lit(1), least)))
-    within = close.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
-    # between families
-    rest = open_.where("several")
-    left, right = (rest.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "level", "matches", "component", "family")]) for i in (1, 2))
-    need = F.least("matches1", "matches2")
-    both = left.join(right, "token").where((F.col("doc1") < F.col("doc2")) & (F.col("component1") != F.col("component2")) & (F.col("family1") != F.col("family2")) & similar(F.col("n1"), F.col("n2")) & (F.col("level1") <= need) & (F.col("level2") <= need))
-    between = both.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where("shared >= need").select("a", "b")
-    last = stash(_compare(docs, stash(within.union(between)), k, ratio).where("linked"))
-    straight = apart.where("linked").select("a", "b").distinct()
-    links = met.where("linked").select("a", "b").union(last.select("a", "b")).union(straight)
-    members = components(links.union(aliases.select(F.col("first"), F.col("doc_id"))))
+        worlds = met.select(F.lit(0).alias("world"), "a", "b").where("linked")
+        if turn == ROUNDS - 1:  # the related ones form families
+            worlds = worlds.union(met.select(F.lit(1), "a", "b"))
+        members = stash(components(worlds, "world"))
+        of = lambda world: members.where(F.col("world") == world)  # noqa: B023, E731
+        open_ = postings.join(of(0).select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    families = of(1).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    open_ = stash(open_.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc")))
+    mixed = open_.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("family").alias("f"), F.max("family").alias("g"))
+    mixed = apart(mixed.where("c <> d").select("token", (F.col("f") != F.col("g")).alias("several")))
+    rest = stash(open_.join(mixed, "token"))
+    discard(postings, open_, *rounds)
+    straight, within = _within(docs, rest, k, ratio, sketch)
+    left_over = stash(within.union(_between(rest.where("several"), ratio)).distinct())
+    last = stash(_compare(docs, left_over, k, ratio).where("linked"))
+    links = of(0).select(F.col("node").alias("a"), F.col("component").alias("b")).union(last.select("a", "b")).union(straight)
+    members = components(links.union(aliases.select("first", "doc_id")))
+    sketch.destroy()
+    discard(left_over)
     return rows.join(members, rows["doc_id"] == members["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

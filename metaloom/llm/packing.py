@@ -3,13 +3,15 @@
 Each document's token ids end with an end id; only those longer than a sequence are cut, into full pieces behind a first one
 that may be shorter. What is packed is the histogram of piece lengths, which has at most `capacity` entries however many
 documents there are. A configuration is a multiset of lengths that fits a sequence; the covering program over all of them is
-solved by multiplicative weights: the lengths' weights price configurations, dynamic programming over the capacity finds the
-best one (an unbounded knapsack), and each use lowers the weights of the lengths that it covers. The fractional solution is
-rounded down on the configurations that fill a sequence; the rest is packed by best fit, longest first.
+solved by multiplicative weights: the lengths' weights price configurations by dynamic programming over the capacity (an unbounded
+knapsack), and change by factors with what the configurations leave and cover, until the solution is within `GAP` of the dual bound
+or `ROUNDS` are over. It is rounded down, configurations that fill a sequence take one more while pieces last, and the same weights
+fill up what is left, or best fit where that takes fewer sequences.
 
 Every piece then finds its place alone: its rank among the pieces of its length (a rank within its task plus an offset for
-the task) selects a slot of a configuration's copies. Null texts count as empty (one end id); repeated rows are packed as often as
-they occur; null ids pass through; an empty table gives an empty result; columns other than doc_id and text take no part.
+the task) selects a slot of a configuration's copies. Null texts count as empty (one end id); very long texts make many pieces of a
+sequence each; repeated rows are packed as often as they occur; null ids pass through; pieces of one length are interchangeable, so a
+tie is settled by task and row order; an empty table gives an empty result; columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -30,75 +32,170 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, small_batches, stash, table
 
-#: Times that the multiplicative weights cover every length before the solution is scaled; and how fast weights fall.
-ROUNDS, EPSILON = 2, 3.0
+#: Relative gap between the fractional solution and its dual bound at which rounds end; most rounds; rounds after which the sums begin anew, as weights have settled.
+GAP, ROUNDS, SETTLED = 0.01, 64, (8, 24)
+#: How fast a length's weight grows with the room that its configurations leave, and falls with what it has been covered beyond its turn; share of its demand for which a length may run ahead.
+RAISE, LOWER, AHEAD = 0.6, 0.3, 0.25
+#: Times that the program is solved again for what full sequences have left, and how near the bound a packing must be not to need it.
+AGAIN, CLOSE = 1, 0.002
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> list[int]:
-    """Indices of the lengths (repeats allowed) whose weights sum to the most within the capacity."""
-    value, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
+    """For every capacity up to the given one the most weight that a multiset of the lengths (ascending) has within it."""
+    value = np.zeros(capacity + 1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         value[c] = value[c - 1]
         if n := fits[c]:
-            gain = value[c - lengths[:n]] + weights[:n]
-            k = int(gain.argmax())
-            if gain[k] > value[c] + 1e-12:
-                value[c], taken[c] = gain[k], k
-    out, c = [], capacity
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            out.append(int(taken[c]))
-            c -= int(lengths[taken[c]])
-    return out
+            value[c] = max(value[c], (value[c - lengths[:n]] + weights[:n]).max())
+    return value
+
+
+def _filled(first: int, lengths: np.ndarray, weights: np.ndarray, value: np.ndarray, free: np.ndarray) -> tuple[Counter, int]:
+    """A configuration with the length of index `first`, filled up by those of most weight of which free[i] are left, and its spare room."""
+    chosen, room = Counter({first: 1}), len(value) - 1 - int(lengths[first])
+    while room >= lengths[0]:
+        n = int(np.searchsorted(lengths, room, "right"))
+        gain = np.where(free[:n] > 0, weights[:n] + value[room - lengths[:n]], -1.0)
+        for k, used in chosen.items():
+            if k < n and used >= free[k]:
+                gain[k] = -1.0
+        k = int(gain.argmax())
+        if gain[k] < 0:
+            break
+        chosen[k] += 1
+        room -= int(lengths[k])
+    return chosen, room
+
 
+def fractional(demand: dict[int, int], capacity: int) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """Configurations (lengths, longest first) and how often to use each, the lengths' weights, and a lower bound of all solutions' sums.
 
-def fractional(demand: dict[int, int], capacity: int) -> dict[tuple[int, ...], float]:
-    """Configurations (lengths, longest first) and how often to use each, covering the demand, by multiplicative weights."""
+    In each round the weights price all capacities by the knapsack, and every length, longest first, is covered once by the best
+    configurations that hold it and lengths whose turn isn't exceeded by `AHEAD`. Then weights change by factors: those grow whose
+    configurations had room to spare, those fall that are ahead. Weights over the best configuration's are a solution of the dual program.
+    """
     lengths = np.array(sorted(demand))
     need = np.array([demand[x] for x in lengths.tolist()], float)
-    covered, level = np.zeros(len(lengths)), np.zeros(len(lengths))
-    uses: dict[tuple[int, ...], float] = defaultdict(float)
-    while (open_ := np.flatnonzero(covered < ROUNDS)).size:
-        weights = lengths[open_] / capacity * np.exp(-EPSILON * level[open_])
-        chosen = Counter(open_[best_configuration(lengths[open_], weights, capacity)].tolist())
-        at, times = np.array(list(chosen), int), np.array(list(chosen.values()), float)
-        amount = (need[at] / times).min()
-        uses[tuple(sorted(lengths[list(chosen.elements())].tolist(), reverse=True))] += amount
-        covered[at] += amount * times / need[at]
-        level[at] += amount * times / need[at]
-        covered[np.isclose(covered, ROUNDS)] = ROUNDS
-    return {k: v / ROUNDS for k, v in uses.items()}
+    weights, raised, best = lengths / capacity, np.zeros(len(lengths)), 0.0
+    covered, uses, turn = np.zeros(len(lengths)), defaultdict(float), 0
+    for done in range(ROUNDS):
+        if done in SETTLED:
+            covered, uses, turn = np.zeros(len(lengths)), defaultdict(float), 0
+        value = knapsack(lengths, weights, capacity)
+        best = max(best, float(weights @ need) / value[capacity])
+        turn += 1
+        most, wasted, times = turn + AHEAD, np.zeros(len(lengths)), np.full(len(lengths), 1e-9)
+        ahead = most - covered
+        for i in range(len(lengths) - 1, -1, -1):
+            while covered[i] < turn - 1e-9:
+                chosen, room = _filled(i, lengths, weights, value, np.where(ahead > 1e-9, np.inf, 0))
+                at, n = np.array(list(chosen)), np.array(list(chosen.values()), float)
+                amount = float((np.where(at == i, turn - covered[at], ahead[at]) * need[at] / n).min())
+                share = amount * n / need[at]
+                covered[at] += share
+                ahead[at] -= share
+                times[at] += share
+                wasted[at] += share * room / capacity
+                uses[tuple(sorted((int(lengths[k]) for k in chosen.elements()), reverse=True))] += amount
+        raised += wasted / times
+        weights = lengths / capacity * np.exp(RAISE * raised - LOWER * (covered / turn - 1))
+        if done >= SETTLED[-1] and sum(uses.values()) <= best * (1 + GAP) * turn:
+            break
+    return {k: v / turn for k, v in uses.items()}, weights, best
 
 
-def plan(demand: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (the lengths in a sequence, in order) and how many sequences have each; they use up the demand exactly."""
-    left = {k: v for k, v in demand.items() if 0 < k < capacity and v > 0}
-    out = [((capacity,), demand[capacity])] if demand.get(capacity) else []
-    for lengths, amount in sorted(fractional(left, capacity).items(), key=lambda x: (-sum(x[0]), -x[1], x[0])) if left else []:
+def best_fit(left: dict[int, int], capacity: int) -> Counter:
+    """Sequences (lengths) and how many of each when the longest pieces go first, each where least room is left; equal pieces and sequences move together."""
+    room: list[Counter] = [Counter() for _ in range(capacity + 1)]
+    for x in sorted(left, reverse=True):
+        n = left[x]
+        while n:
+            c = next((c for c in range(x, capacity) if room[c]), capacity)
+            if c == capacity:
+                own, fits = (), n
+            else:
+                own, there = next(iter(room[c].items()))
+                fits = min(n, there)
+                room[c][own] -= fits
+                room[c] += Counter()
+            full = (c // x) if c == capacity else 1
+            if c == capacity and n >= full:
+                room[c - full * x][(x,) * full] += n // full
+                n -= n // full * full
+            elif c == capacity:
+                room[c - n * x][(x,) * n] += 1
+                n = 0
+            else:
+                room[c - x][(*own, x)] += fits
+                n -= fits
+    return Counter({k: v for r in room for k, v in r.items() if v})
+
+
+def filled_up(left: dict[int, int], prices: dict[int, float], capacity: int) -> Counter:
+    """Sequences (lengths) and how many of each that use up what is left: the longest piece first, filled up by the most weight that is there."""
+    left, out = {k: v for k, v in left.items() if v}, Counter()
+    while left:
+        lengths = np.array(sorted(left))
+        weights = np.array([prices[x] for x in lengths.tolist()])
+        value, free = knapsack(lengths, weights, capacity), np.array([left[x] for x in lengths.tolist()])
+        gone = 0
+        for i in range(len(lengths) - 1, -1, -1):
+            while free[i] and gone <= len(lengths) // 8:
+                chosen, _ = _filled(i, lengths, weights, value, free)
+                at, n = np.array(list(chosen)), np.array(list(chosen.values()))
+                times = int((free[at] // n).min())
+                out[tuple(sorted((int(lengths[k]) for k in chosen.elements()), reverse=True))] += times
+                free[at] -= times * n
+                gone += int((free[at] == 0).sum())
+        left = {x: int(v) for x, v in zip(lengths.tolist(), free.tolist(), strict=True) if v}
+    return out
+
+
+def _take(configurations: list[tuple[tuple[int, ...], int]], left: dict[int, int], out: Counter) -> None:
+    """Uses configurations as often as asked for while their pieces last."""
+    for lengths, wanted in configurations:
         counts = Counter(lengths)
-        if sum(lengths) == capacity and (times := min(int(amount), *(left[x] // n for x, n in counts.items()))):
-            out.append((lengths, times))
+        if times := min(wanted, *(left[x] // n for x, n in counts.items())):
+            out[lengths] += times
             for x, n in counts.items():
                 left[x] -= n * times
-    room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    free = 0  # bit c is set where a sequence has room for c
-    for x in sorted(left, reverse=True):
-        for _ in range(left[x]):
-            if above := free >> x:
-                c = x + (above & -above).bit_length() - 1
-                items = room[c].pop()
-                if not room[c]:
-                    free ^= 1 << c
-            else:
-                c, items = capacity, []
-            items.append(x)
-            room[c - x].append(items)
-            free |= 1 << (c - x)
-    return out + sorted(Counter(tuple(i) for r in room for i in r).items())
+
+
+def _packed(demand: dict[int, int], capacity: int, again: int) -> Counter:
+    uses, weights, bound = fractional(demand, capacity)
+    ranked = sorted(uses.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
+    full = [x for x in ranked if sum(x[0]) == capacity]
+    left, out = dict(demand), Counter()
+    _take([(k, int(v)) for k, v in full], left, out)
+    _take([(k, 1) for k, _ in full], left, out)
+    left = {k: v for k, v in left.items() if v}
+    if not left:
+        return out
+    prices = dict(zip(sorted(demand), weights.tolist(), strict=True))
+    rests = [filled_up(left, prices, capacity), best_fit(left, capacity)]
+    if again and out.total() + min(r.total() for r in rests) > bound * (1 + CLOSE) + 1:
+        rests.append(_packed(left, capacity, again - 1))
+    if out.total() + min(r.total() for r in rests) > bound * (1 + CLOSE) + 1:
+        other, rest = Counter(), dict(demand)
+        _take([(k, int(v)) for k, v in ranked], rest, other)
+        other += filled_up(rest, prices, capacity)
+        if other.total() < out.total() + min(r.total() for r in rests):
+            return other
+    return out + min(rests, key=lambda r: r.total())
+
+
+def plan(demand: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (the lengths in a sequence, in order) and how many sequences have each; they use up the demand exactly.
+
+    Configurations that fill a sequence are rounded down, then take one more while their pieces last. The rest is filled up by the same
+    weights, or packed by best fit where that takes fewer sequences. Where the sum isn't within `CLOSE` of the dual bound, the program is
+    solved again for the rest, and all configurations rounded down are tried too. Work depends on the histogram's entries, not on its counts.
+    """
+    left = {k: v for k, v in demand.items() if 0 < k < capacity and v > 0}
+    out = Counter({(capacity,): demand[capacity]}) if demand.get(capacity) else Counter()
+    return sorted((out + _packed(left, capacity, AGAIN) if left else out).items())
 
 
 @functools.cache

@@ -8,7 +8,9 @@ doesn't depend on the corpus. Every document is compared with all of them, exact
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: no label of theirs is used. Null and empty texts have vectors too (of
 their ratios) and are scored; a null doc_id is scored, not held out. Of several labels of a document the smallest counts; null labels are no
-labels. Without any label all scores are 0.5. Repeated rows are scored each; an empty table gives an empty result. Other columns take no part.
+labels. Without any label all scores are 0.5. Of several texts of a chosen id the one with the smallest counts is learned. Similarities are compared
+in steps of 2**-16, so that rounding doesn't decide; of neighbours that tie for the last place those with the smallest doc_id vote.
+Very long texts are counted a megabyte or one text at a time. Repeated rows are scored each; an empty table gives an empty result. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -94,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
             rows = np.minimum(counts(batch.column(1)), 65535).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "quality", "counts"])
 
-    rows = sorted({(r[0], bytes(r[2])): r for r in texts.mapInArrow(run, "doc_id long, quality int, counts binary").collect()}.values(), key=lambda r: (r[0], bytes(r[2])))[:sample]
+    rows = texts.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id").agg(F.min(F.struct("counts", "quality")).alias("row"))
+    rows = [(r["doc_id"], r["row"]["quality"], r["row"]["counts"]) for r in rows.orderBy("doc_id").collect()]  # one for each chosen id
     if not rows:
         return None
     count = np.stack([np.frombuffer(r[2], "<u2") for r in rows]).astype(np.float32)
@@ -110,9 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
 def scores(column: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
     """The weighted share of label 1 among each text's nearest neighbours, over exact cosine products with all labelled vectors."""
     vectors = _unit(weighted(counts(column), model["weights"]) @ model["basis"])
-    near = vectors @ model["vectors"].T
+    near = np.round(vectors @ model["vectors"].T * 65536).astype(np.int64)
     k = min(NEIGHBOURS, near.shape[1])
+    # the sample is in order of ids: a smaller place wins a tie
+    near = near * near.shape[1] + np.arange(near.shape[1])[::-1]
     best = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
+    near = near // near.shape[1] / 65536
     weight = np.maximum(np.take_along_axis(near, best, 1), 0.0) ** POWER + 1e-9
     return np.clip((weight * model["labels"][best]).sum(1) / weight.sum(1), 0.0, 1.0).astype(np.float64)
 

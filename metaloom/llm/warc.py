@@ -27,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, shared_dir, small_batches, stash, table
+from .common import apart, batches, columns_of, shared_dir, small_batches, stash, table
 
 LEAST, ROLL_BYTES, DATE = 100, 256 << 20, "2000-01-01T00:00:00Z"
+#: Most tasks that read archives; each reads its files one after the other.
+READERS = 10_000
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-records")
 _MANIFEST = "file string, records long, compressed_bytes long, sha256 string"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -40,12 +42,23 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), uri)
 
 
+def _replace(fs: pa.fs.FileSystem, source: str, target: str) -> None:
+    """Renames a file; where the file system refuses a name that exists, the older file, of the same bytes, goes first."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        if fs.get_file_info(target).type != pa.fs.FileType.File:
+            raise
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Revisits only: page_id, digest, and the smallest page id of that payload."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least)
     rows = stash(rows.select("page_id", "digest"))
-    groups = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = apart(rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return rows.join(groups, "digest").where("page_id <> refers_to or (page_id is null and refers_to is not null)").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -89,7 +102,7 @@ class _Shard:
 
     def close(self) -> list:
         self.out.close()
-        self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        _replace(self.fs, self.temporary, f"{self.root}/{self.name}")
         return [self.name, self.records, self.bytes, self.sum.hexdigest()]
 
 
@@ -142,7 +155,7 @@ def _commit(manifest: DataFrame, fs: pa.fs.FileSystem, root: str) -> None:
     with fs.open_output_stream(f"{root}/_temporary/MANIFEST") as out:
         for row in manifest.orderBy("file").toLocalIterator():
             out.write((json.dumps(row.asDict(), sort_keys=True) + "\n").encode())
-    fs.move(f"{root}/_temporary/MANIFEST", f"{root}/MANIFEST")
+    _replace(fs, f"{root}/_temporary/MANIFEST", f"{root}/MANIFEST")
     fs.delete_dir(f"{root}/_temporary")
 
 
@@ -193,7 +206,9 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, _READ)
+    # a number of partitions is given, so that adaptive execution doesn't merge these few but large rows into one task
+    files = max(1, min(manifest.count(), READERS))
+    return manifest.select("file").repartition(files, "file").mapInArrow(run, _READ)
 
 
 ORACLE = """

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from metaloom.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, licenses, lm_score, packing, quality, warc
+from metaloom.llm import bpe, common, exact_dedup, fingerprints, html_text, jaccard_join, licenses, lm_score, packing, quality, warc
 from pyspark.sql import functions as F
 
 BASE = " ".join(f"w{i % 97}x{i}" for i in range(120))
@@ -53,6 +53,68 @@ def test_jaccard_join(docs):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} >= {1, 5, 6, 7, 9, 12, 13, 14, 15, 16}
 
 
+def linked_classes(texts, k, numerator, denominator):
+    """Brute force: size of each document's set, and the smallest document that links lead to."""
+    sets = {}
+    for i, t in texts:
+        w = words(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and denominator * len(x & y) >= numerator * len(x | y):
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def family_texts():
+    """Five families of 60 edits of one text, a chain of 30 whose neighbours alone link, copies of one text, and texts with no relation."""
+    random = np.random.default_rng(7)
+    out = []
+    for f in range(5):
+        lead = [f"f{f}w{i}" for i in range(160)]
+        for _ in range(60):
+            own = list(lead)
+            for at in random.integers(0, 160, random.integers(0, 9)):
+                own[at] = f"e{random.integers(0, 40)}"
+            out.append(" ".join(own))
+    out += [" ".join(f"c{j}" for j in range(6 * i, 6 * i + 150)) for i in range(30)]
+    out += ["the same text again and again " * 9] * 40 + [" ".join(f"n{random.integers(0, 500)}" for _ in range(50)) for _ in range(60)]
+    return [(int(i) * 3 + 1, t) for i, t in zip(random.permutation(len(out)), out, strict=True)]
+
+
+@pytest.mark.parametrize("k, numerator, denominator", [(4, 85, 100), (5, 80, 100)])
+def test_jaccard_join_families_and_chains(spark, k, numerator, denominator):
+    texts = family_texts()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(docs, k, numerator, denominator).collect()}
+    assert len(texts) >= 300 and got == linked_classes(texts, k, numerator, denominator)
+
+
+def test_jaccard_join_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, BASE), (None, BASE), (5, BASE), (5, "another text of this row"), (9, EDIT), (7, "another text of this row")], "doc_id long, text string")
+    got = sorted(((r[0], r[2]) for r in jaccard_join.link(docs, 4, 85, 100).collect()), key=str)
+    assert got == [(5, 5), (5, 5), (7, 5), (9, 5), (None, None), (None, None)]
+
+
+def test_components_keep_worlds_apart(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 3), (0, None, 4), (1, 3, 4), (1, 5, 4), (1, 4, 5)], "world int, a long, b long")
+    got = {tuple(r) for r in common.components(edges, "world").collect()}
+    assert got == {(0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 3, 3), (1, 4, 3), (1, 5, 3)}
+    chain = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    assert {tuple(r) for r in common.components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert common.components(chain.where("false")).count() == 0
+
+
 def test_bpe(docs):
     import tiktoken
 
