@@ -209,7 +209,7 @@ def test_html_text(spark):
     rows = [(n, "http://a.example/x", page(n), "k") for n in range(8)] + [(20, None, None, "k"), (21, "odd", "", "k"), (22, "http://b.example/", "plain &lt;text&gt;", "k"), (22, "http://b.example/", "plain &lt;text&gt;", "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
-    assert all(got[n]["text"] == f"T{n} & u One bold {n} b{n}" for n in range(8))
+    assert all(got[n]["text"] == f"T{n} & u One bold {n} Two x y Always here a b{n}" for n in range(8))
     assert (got[20]["text"], got[21]["text"], got[22]["text"], got[22]["n_chars"]) == ("", "", "plain <text>", 12)
     assert html_text.main_text(df).count() == len(rows) and html_text.main_text(df.where("false")).count() == 0
     copies = spark.createDataFrame([(n, "http://c.example/", page(1), "k") for n in range(9)], df.schema)
@@ -232,7 +232,7 @@ def test_exact_dedup(spark, docs):
 
 
 def _texts(spark, pages):
-    rows = spark.createDataFrame([(n, "http://h.example/", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    rows = spark.createDataFrame([(n, "http://h.example/", p) for n, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
     return [r["text"] for r in html_text.main_text(rows).orderBy("page_id").collect()]
 
 
@@ -246,15 +246,64 @@ def test_html_text_keeps_the_end_of_copied_articles(spark):
 
 
 def test_html_text_counts_do_not_depend_on_the_first_page(spark):
-    """39 of 40 pages share an unmarked notice; the page that lacks it may come first, and pages may be dealt in any way."""
-    pages = [f"<article><p>{'odd' if n == 0 else 'notice'}</p><h1>t{n}</h1></article>" for n in range(40)]
-    want = ["odd t0", *(f"t{n}" for n in range(1, 40))]
+    """39 of 40 pages without article share an unmarked line; the page that lacks it may come first, and pages may be dealt in any way."""
+    pages = [f"<div id=x1>{'odd' if n == 0 else 'Home Shop'}</div><div id=x2><h1>t{n}</h1><p>body {n}</p><p>always here</p></div><div id=x3>Made by us</div>" for n in range(40)]
+    want = ["odd t0 body 0 always here", *(f"t{n} body {n} always here" for n in range(1, 40))]
     rows = [(n, "http://h.example/", p) for n, p in enumerate(pages)]
     for parts in (1, 7):
-        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1) if parts == 1 else spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(parts)
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "page_id long, url string, html string").repartition(parts)
         assert [r["text"] for r in html_text.main_text(df).orderBy("page_id").collect()] == want
 
 
+def test_html_text_wrapper_of_pages_without_article(spark, monkeypatch):
+    """Pages differ in how many paragraphs and menu entries they have; few pages, or pages that are all the same, have no template."""
+    page = lambda n: "<table><tr><td>" + "<br>".join(["Start", "News"]) + "</td><td><div>" + "".join(f"<p>{n} line {i}</p>" for i in range(1 + n % 5)) + "</div></td></tr></table><div>Imprint</div>"
+    pages = [page(n) for n in range(12)]
+    want = [" ".join(f"{n} line {i}" for i in range(1 + n % 5)) for n in range(12)]
+    assert _texts(spark, pages) == want
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    assert _texts(spark, pages) == want
+    assert _texts(spark, pages[:3]) == [f"Start News {w} Imprint" for w in want[:3]]
+    assert _texts(spark, [pages[1]] * 9) == [f"Start News {want[1]} Imprint"] * 9
+    assert _texts(spark, []) == []
+
+
+def test_html_text_deep_and_broken_pages():
+    text = lambda source: html_text.extract(html_text.parse(source))
+    assert text("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "after") == "deep after"
+    assert text("<div class=a>" * 50_000 + "<article>deep</article>" * 1000) == " ".join(["deep"] * 1000)
+    for broken in ("<a ", '<a b="', "<!", "<a b='x\" ", "</", "<div "):
+        source = broken * (1_000_000 // len(broken))
+        assert isinstance(text(f"<p>A</p>{source}"), str) and text(f"<p>A</p>{source}").startswith("A")
+    a, b = (html_text.parse(f"<div>{'<div>' * 20_000}{x}") for x in ("<p>one", "<ul>two"))
+    assert len(html_text.matches(a, b)) == 20_002
+
+
+def test_html_text_alignment_by_brute_force():
+    """Simple tree matching against its recursive definition, on random trees."""
+    random = np.random.default_rng(3)
+
+    def tree(depth):
+        tag = ["div", "section", "p"][random.integers(0, 3)]
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(random.integers(0, 4))) if depth and tag != 'p' else 'x'}</{tag}>"
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most(x, y))
+        return 1 + best[-1][-1]
+
+    for _ in range(60):
+        a, b = (html_text.parse("".join(tree(3) for _ in range(3))) for _ in range(2))
+        pairs = html_text.matches(a, b)
+        labels = [n.label for n in html_text.kept_below(a)]
+        assert len(pairs) == most(a, b) and len({p for p, _ in pairs}) == len(pairs) == len({id(n) for _, n in pairs})
+        assert all(labels[p] == n.label for p, n in pairs)
+
+
 def test_html_text_marks():
     """Marks are whole tokens; nothing around an article is dropped for one, nor an article's headers, headings and inline elements."""
     text = lambda source: html_text.extract(html_text.parse(source), None)
@@ -270,7 +319,7 @@ def test_html_text_marks():
 
 def test_html_text_of_large_pages_has_a_template(spark):
     """Pages of more than 4096 blocks each still share a template."""
-    pages = [f"<article><p>notice</p><table>{''.join(f'<tr><td>{n}-{i}</td></tr>' for i in range(2100))}</table></article>" for n in range(6)]
+    pages = [f"<div id=n>site name</div><table>{''.join(f'<tr><td>{n}-{i}</td></tr>' for i in range(2100))}</table>" for n in range(6)]
     assert _texts(spark, pages) == [" ".join(f"{n}-{i}" for i in range(2100)) for n in range(6)]
 
 
@@ -296,6 +345,57 @@ def test_licenses_wrapped_and_long(spark):
     assert all(got[i]["canonical_sha256"] == hashlib.sha256(licenses.canonical(t).encode()).hexdigest() for i, t in rows)
 
 
+def test_packing_program():
+    """The dual bound holds against all configurations, the solution covers the demand, and all configurations rounded use it up."""
+    random = np.random.default_rng(5)
+    for capacity, demand in ((12, {2: 40, 3: 31, 5: 50, 7: 23, 11: 9}), (20, {int(x): int(n) for x, n in zip(range(3, 20, 2), random.integers(1, 90, 9), strict=True)})):
+        lengths = sorted(demand)
+
+        def configurations(room, most):
+            yield ()
+            for x in (x for x in lengths if x <= min(room, most)):
+                for rest in configurations(room - x, x):
+                    yield (x, *rest)
+
+        uses, weights, bound = packing.fractional(demand, capacity)
+        price = dict(zip(lengths, weights.tolist(), strict=True))
+        best = max(sum(price[x] for x in c) for c in configurations(capacity, capacity))
+        value = packing.knapsack(np.array(lengths), weights, capacity)[-1]
+        assert abs(best - value) < 1e-9 and sum(price[x] * demand[x] for x in lengths) / best <= bound + 1e-9
+        covered = Counter()
+        for c, amount in uses.items():
+            assert sum(c) <= capacity
+            for x in c:
+                covered[x] += amount
+        assert all(covered[x] >= demand[x] - 1e-6 for x in lengths) and bound - 1e-6 <= sum(uses.values()) <= 1.1 * bound
+    for demand in ({1: 3}, {600: 7}, {1024: 4, 3: 1}, {int(x): int(n) for x, n in zip(range(1, 1024, 7), random.integers(1, 50, 147), strict=True)}, {x: 10_000_000 for x in (100, 300, 501, 724)}):
+        packed, used = packing.plan(demand, 1024), Counter()
+        for c, n in packed:
+            assert sum(c) <= 1024
+            for x in c:
+                used[x] += n
+        assert used == Counter(demand) and sum(n for _, n in packed) <= packing.best_fit(demand, 1024).total() * 1.01 + 1
+
+
+def test_quality_votes_by_hand(spark):
+    """Every text's score from all labelled vectors, one by one: the most similar vote, ties go to the smallest id."""
+    texts = [(n, f"A fine sentence number {n % 7}, with words." if n % 2 else f"BUY {n % 5} NOW!!! $$$ {n % 3}") for n in range(120)] + [(200, None), (201, ""), (202, "x" * 50_000), (None, "A fine sentence."), (3, "A fine sentence.")]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in texts], "doc_id long, text string, score double").repartition(3)
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(90)] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, 60)
+    assert len(model["labels"]) <= 60
+    got = {(r["doc_id"], r["score"]) for r in quality.score(docs, model).collect()}
+    import pyarrow as pa
+
+    own = quality._unit(quality.weighted(quality.counts(pa.array([t for _, t in texts])), model["weights"]) @ model["basis"])
+    for (doc_id, _), v in zip(texts, own, strict=True):
+        steps = [round(float(x) * 65536) for x in (v[None] @ model["vectors"].T)[0]]
+        near = sorted(range(len(steps)), key=lambda k: (-steps[k], k))[: quality.NEIGHBOURS]
+        weight = [max(steps[k] / 65536, 0.0) ** quality.POWER + 1e-9 for k in near]
+        score = sum(w * model["labels"][k] for w, k in zip(weight, near, strict=True)) / sum(weight)
+        assert any(i == doc_id and abs(x - score) < 1e-3 for i, x in got)
+
+
 @pytest.mark.parametrize("limit", [lm_score.WORDS, 0])
 def test_lm_score(docs, monkeypatch, limit):
     monkeypatch.setattr(lm_score, "WORDS", limit)
