@@ -71,7 +71,59 @@ def fn_aggregates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (fn_strings, fn_dates, fn_event_times, fn_lists, fn_casts, fn_modes, fn_aggregates)}
+def fn_text_more(spark: SparkSession, d: str) -> DataFrame:
+    name = F.col("p_name")
+    return load(spark, d, "part").select(
+        "p_partkey", F.char(F.lit(65) + F.col("p_size") % 26).alias("letter"), F.ascii(name).alias("first_code"), F.rtrim(F.concat(name, F.lit("  "))).alias("trimmed"), F.repeat(F.left("p_brand", F.lit(2)), F.col("p_size") % 4).alias("repeated"),
+        F.abs(F.col("p_size") - 25).alias("off_middle"), F.regexp_like("p_brand", f.escape_pattern(F.col("p_brand"))).alias("escaped"), f.html_unescape(F.concat(F.lit("&eacute;&amp;"), name)).alias("plain"),
+        F.hex(F.col("p_brand")).alias("hexed"), F.contains(name, F.lit("e")).alias("has_e"), F.startswith(name, F.lit("P")).alias("starts"), f.restore_lines(F.concat(name, F.lit("x"))).alias("restored"),
+    )
+
+
+def fn_lists_more(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.col("l_linenumber").cast("long")))
+    per = load(spark, d, "lineitem").groupBy("l_orderkey").agg(parts.alias("n"), F.min("l_suppkey").alias("s"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return per.select(
+        "l_orderkey", text(F.array_append("n", F.lit(99).cast("long"))).alias("appended"), text(F.reverse("n")).alias("reversed"), F.array_contains("n", F.lit(3).cast("long")).alias("has_three"),
+        F.arrays_overlap("n", F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("has_any"), text(F.flatten(F.array("n", F.array("s")))).alias("flat"),
+        F.map_from_entries(F.array(F.struct(F.lit("a").alias("k"), F.size("n").cast("long").alias("v")), F.struct(F.lit("b").alias("k"), F.col("s").alias("v"))))["b"].alias("of_b"), F.to_json(F.struct(F.col("s").alias("s"), F.size("n").alias("k"))).alias("json"),
+        F.struct(F.col("s").alias("a")).withField("b", F.size("n").cast("long"))["b"].alias("inserted"), F.size("n").cast("long").alias("len"),
+    )
+
+
+def fn_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Dense ranks, and the share of parts with fewer orders, from sums over the few distinct counts."""
+    by = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    counts = by.groupBy("n").agg(F.count("*").alias("c"))
+    order = Window.orderBy("n")  # over one row for each distinct count
+    below = counts.select("n", (F.sum("c").over(order) - F.col("c")).alias("below"), F.dense_rank().over(order).cast("long").alias("level"))
+    return by.join(F.broadcast(below), "n").select("l_partkey", "n", "below", "level")
+
+
+def fn_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """NOT IN over a list with nulls finds nothing; without them it does; literal percent signs are escaped; shared subqueries are computed once."""
+    orders, customers = load(spark, d, "orders"), load(spark, d, "customer")
+    return spark.sql(
+        """WITH per AS (SELECT o_custkey, count(*) AS n, any_value(o_orderstatus IN ('F', 'O', 'P')) AS known, max(day(o_orderdate)) AS last_day FROM {orders} GROUP BY 1),
+        listed AS (SELECT CASE WHEN n > 15 THEN o_custkey END AS k FROM per)
+        SELECT c_custkey, coalesce(n, 0) AS n, known, last_day, c_custkey NOT IN (SELECT k FROM listed WHERE k IS NOT NULL) AS absent, coalesce(c_custkey NOT IN (SELECT k FROM listed), false) AS absent_with_nulls,
+               c_name LIKE 'Customer!_%' ESCAPE '!' AS literal_underscore, lower(c_mktsegment) ILIKE 'AUTO%' AS auto
+        FROM {customers} LEFT JOIN per ON o_custkey = c_custkey""",
+        orders=orders, customers=customers,
+    )
+
+
+def fn_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Clock, environment and session variables: they exist, and one statement has one time."""
+    import os
+
+    spark.conf.set("metaloom.variable", "x")
+    named = spark.range(1).select(F.lit(os.environ.get("PATH") is not None).alias("has_environment"), F.lit(spark.conf.get("metaloom.variable")).alias("variable"))
+    return named.select("*", (F.now() == F.current_timestamp()).alias("one_time"), (F.localtimestamp() <= F.localtimestamp()).alias("local_time"), (F.day(F.current_date()) > 0).alias("has_day"))
+
+
+QUERIES = {q.__name__: q for q in (fn_strings, fn_dates, fn_event_times, fn_lists, fn_casts, fn_modes, fn_aggregates, fn_text_more, fn_lists_more, fn_windows, fn_predicates, fn_clock)}
 _UNITS = ", ".join(f"date_diff('{u}', o_orderdate, TIMESTAMP '1995-06-15 12:30:00') AS {u}s" for u in ("year", "quarter", "month", "week", "day", "hour", "minute", "second"))
 _ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey"
 ORACLE_SQL = {
@@ -82,4 +134,9 @@ ORACLE_SQL = {
     "fn_casts": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity / 4 AS BIGINT) AS quarter, TRY_CAST(l_returnflag AS INT) AS nothing, l_partkey // 7 AS seventh, greatest(l_partkey, l_suppkey) AS larger, CAST(ceil(l_quantity / 8) AS BIGINT) AS up, CAST(CAST(replace(printf('%.2f', l_extendedprice), '.50', '.51') AS DECIMAL(38, 9)) AS BIGINT) AS whole_price FROM lineitem",
     "fn_modes": "SELECT year, o_orderstatus, o_orderpriority, n_mode FROM (SELECT year(o_orderdate) AS year, o_orderstatus, o_orderpriority, count(*) AS n_mode FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY year, o_orderstatus ORDER BY n_mode DESC, o_orderpriority) = 1",
     "fn_aggregates": "SELECT l_returnflag, l_linestatus, median(l_quantity) AS median_quantity, quantile_cont(l_quantity, 0.9) AS p90, quantile_disc(l_quantity, 0.25) AS p25, bool_or(l_discount > 0.09) AS any_high, bool_and(l_tax < 0.09) AS all_low, arg_max(l_orderkey, (l_shipdate, l_orderkey)) AS latest_order, string_agg(DISTINCT CAST(year(l_shipdate) AS VARCHAR), '/' ORDER BY CAST(year(l_shipdate) AS VARCHAR)) AS years FROM lineitem GROUP BY ALL",
+    "fn_text_more": r"SELECT p_partkey, chr(65 + p_size % 26) AS letter, unicode(p_name) AS first_code, rtrim(p_name || '  ') AS trimmed, repeat(left(p_brand, 2), p_size % 4) AS repeated, abs(p_size - 25) AS off_middle, regexp_full_match(p_brand, regexp_escape(p_brand)) AS escaped, 'é&' || p_name AS plain, hex(p_brand) AS hexed, contains(p_name, 'e') AS has_e, starts_with(p_name, 'P') AS starts, p_name || 'x' AS restored FROM part",
+    "fn_lists_more": "WITH p AS (SELECT l_orderkey, list_sort(list(CAST(l_linenumber AS BIGINT))) AS n, min(l_suppkey) AS s FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_append(n, 99), ',') AS appended, array_to_string(list_reverse(n), ',') AS reversed, list_contains(n, 3) AS has_three, list_has_any(n, [5, 6]) AS has_any, array_to_string(flatten([n, [s]]), ',') AS flat, map_from_entries([('a', len(n)), ('b', s)])['b'] AS of_b, CAST(to_json(struct_pack(s := s, k := len(n))) AS VARCHAR) AS json, struct_insert(struct_pack(a := s), b := len(n)).b AS inserted, len(n) AS len FROM p",
+    "fn_windows": "WITH b AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT n, count(*) AS c FROM b GROUP BY 1), k AS (SELECT n, CAST(sum(c) OVER (ORDER BY n) - c AS BIGINT) AS below, dense_rank() OVER (ORDER BY n) AS level FROM c) SELECT l_partkey, b.n, below, level FROM b JOIN k ON b.n = k.n",
+    "fn_predicates": "WITH per AS MATERIALIZED (SELECT o_custkey, count(*) AS n, any_value(o_orderstatus IN ('F', 'O', 'P')) AS known, max(day(o_orderdate)) AS last_day FROM orders GROUP BY 1), listed AS (SELECT CASE WHEN n > 15 THEN o_custkey END AS k FROM per) SELECT c_custkey, coalesce(n, 0) AS n, known, last_day, c_custkey NOT IN (SELECT k FROM listed WHERE k IS NOT NULL) AS absent, coalesce(c_custkey NOT IN (SELECT k FROM listed), false) AS absent_with_nulls, c_name LIKE 'Customer!_%' ESCAPE '!' AS literal_underscore, lower(c_mktsegment) ILIKE 'AUTO%' AS auto FROM customer LEFT JOIN per ON o_custkey = c_custkey",
+    "fn_clock": "SELECT true AS has_environment, 'x' AS variable, now() = now() AS one_time, current_localtimestamp() <= current_localtimestamp() AS local_time, day(current_date) > 0 AS has_day",
 }

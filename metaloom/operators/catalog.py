@@ -55,12 +55,22 @@ def links_with_prefer_local(spark: SparkSession, d: str) -> DataFrame:
     return _supply(spark, d).withColumn("local", local).withColumn("any_local", F.max("local").over(own)).where("local = any_local").select("l_orderkey", "l_suppkey", "source_file", "target_file")
 
 
+def arbitrate(links: DataFrame, key: list[str], target_file: str, source_file: str, declared: str) -> DataFrame:
+    """Edge arbitration among links that agree in the key: those to the source's own file, if there are any; else those to the one declared file,
+    if exactly one of the group's files is declared; else all stay (kept across files). `declared` says whether the link's target file is declared."""
+    group = Window.partitionBy(*key)
+    local = F.coalesce((F.col(source_file) == F.col(target_file)).cast("int"), F.lit(0))
+    files = F.size(F.collect_set(F.when(F.col(declared), F.col(target_file))).over(group))
+    out = links.withColumn("_local", local).withColumn("_any", F.max("_local").over(group)).withColumn("_files", files)
+    kept = F.when(F.col("_any") == 1, F.col("_local") == 1).when(F.col("_files") == 1, F.coalesce(F.col(declared), F.lit(False))).otherwise(F.lit(True))
+    out = out.where(kept).withColumn("arbitration", F.when(F.col("_any") == 1, "local").when(F.col("_files") == 1, "declared").otherwise("kept"))
+    return out.drop("_local", "_any", "_files")
+
+
 def links_prefer_declared(spark: SparkSession, d: str) -> DataFrame:
-    """Of a target's sources only those of the file with most of them, the smallest name at a tie."""
-    every = _supply(spark, d)
-    rank = Window.partitionBy("l_suppkey").orderBy(F.desc("n"), "source_file")
-    winner = every.groupBy("l_suppkey", "source_file").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank)).where("r = 1").select("l_suppkey", "source_file")
-    return every.join(winner, ["l_suppkey", "source_file"], "left_semi").select("l_orderkey", "l_suppkey", "source_file", "target_file")
+    """Of an order's links the ones to its own file; else those to the one file that its file declares as a source; else all."""
+    declared = F.substring("target_file", 1, 1).isin("A", "E") & (F.col("source_file") != "ASIA")
+    return arbitrate(_supply(spark, d).withColumn("declared", declared), ["l_orderkey"], "target_file", "source_file", "declared").select("l_orderkey", "l_suppkey", "source_file", "target_file", "arbitration")
 
 
 def object_homes(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +106,8 @@ def heal_twins(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
     first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
     healed = F.when(F.col("doc_id") == F.col("first"), F.col("digest")).otherwise(F.md5(F.concat_ws("::", "digest", F.col("doc_id").cast("string"))))
-    return docs.join(first, "digest").select("doc_id", healed.alias("healed_uuid"), (F.col("doc_id") != F.col("first")).alias("is_healed"))
+    first = first.withColumnRenamed("digest", "_digest")
+    return docs.join(first, F.col("digest").eqNullSafe(F.col("_digest"))).select("doc_id", healed.alias("healed_uuid"), (F.col("doc_id") != F.col("first")).alias("is_healed"))
 
 
 def heal_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +163,7 @@ ORACLE_SQL = {
 SELECT object_uuid, object_type, coalesce(n_users, 0) AS n_users, coalesce(roles, '') AS roles, CASE WHEN n_users > 0 THEN 'used' WHEN EXISTS (SELECT 1 FROM links l WHERE l.link_kind = 'usage' AND l.source_uuid = object_uuid) THEN 'entry' ELSE 'unused' END AS usage_class FROM objects LEFT JOIN u ON target_uuid = object_uuid""",
     "unused_parts_in_year": "SELECT p_partkey, p_name, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM lineitem))",
     "links_with_prefer_local": _W + "SELECT * FROM supply QUALIFY (source_file = target_file) = bool_or(source_file = target_file) OVER (PARTITION BY l_orderkey)",
-    "links_prefer_declared": _W + "SELECT s.* FROM supply s JOIN (SELECT l_suppkey, source_file, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, source_file) AS r FROM (SELECT l_suppkey, source_file, count(*) AS n FROM supply GROUP BY ALL)) w ON s.l_suppkey = w.l_suppkey AND s.source_file = w.source_file AND r = 1",
+    "links_prefer_declared": f"WITH {OBJECTS_SQL.split(', objects')[0] if ', objects' in OBJECTS_SQL else OBJECTS_SQL.split(',' + chr(10) + 'objects')[0]}, {_SUPPLY_SQL}, f AS (SELECT *, left(target_file, 1) IN ('A', 'E') AND source_file <> 'ASIA' AS declared, source_file = target_file AS is_local FROM supply), g AS (SELECT l_orderkey, bool_or(is_local) AS any_local, count(DISTINCT target_file) FILTER (declared) AS files FROM f GROUP BY 1) SELECT f.l_orderkey, l_suppkey, source_file, target_file, CASE WHEN any_local THEN 'local' WHEN files = 1 THEN 'declared' ELSE 'kept' END AS arbitration FROM f JOIN g ON f.l_orderkey = g.l_orderkey WHERE CASE WHEN any_local THEN is_local WHEN files = 1 THEN declared ELSE true END",
     "object_homes": "SELECT c_nationkey, c_mktsegment, n_fields FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n_fields FROM customer GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n_fields DESC, c_mktsegment) = 1",
     "logical_links": _LOGICAL,
     "node_universe": f"WITH l AS ({_LOGICAL}) SELECT 'Customer' AS node_type, source_key AS node_key FROM l UNION SELECT target_type, target_key FROM l",

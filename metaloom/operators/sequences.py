@@ -77,10 +77,19 @@ def work_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_bursts(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of a type's events with gaps of at most ten minutes, from five events on."""
-    order = Window.partitionBy("event_type").orderBy("us", "event_id")
-    fresh = F.when(F.col("us") - F.lag("us").over(order) <= 600_000_000, 0).otherwise(1)
-    runs = _events(spark, d).withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of a type's events with gaps of at most ten minutes, from five events on.
+
+    Windows cover a type's day, so that few types don't make few tasks; what crosses days is carried in by a table of one row for each type and day.
+    """
+    days = _events(spark, d).withColumn("day", F.expr("us div 86400000000"))
+    own, ordered = Window.partitionBy("event_type", "day").orderBy("us", "event_id"), Window.partitionBy("event_type").orderBy("day")
+    carry = days.groupBy("event_type", "day").agg(F.max("us").alias("last")).select("event_type", "day", F.lag("last").over(ordered).alias("before"))
+    before = F.coalesce(F.lag("us").over(own), F.col("before"))
+    marked = days.join(carry, ["event_type", "day"]).withColumn("fresh", F.when(F.col("us") - before <= 600_000_000, 0).otherwise(1))
+    offsets = marked.groupBy("event_type", "day").agg(F.sum("fresh").alias("n"))
+    offsets = offsets.select("event_type", "day", F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    local = F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    runs = marked.withColumn("local", local).join(offsets, ["event_type", "day"]).withColumn("burst", F.col("local") + F.col("earlier"))
     return runs.groupBy("event_type", "burst").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).where("n_events >= 5")
 
 

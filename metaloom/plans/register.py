@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions import probes
-from ..operators import catalog, checks, graph, rules, sequences, texts
+from ..operators import calculations, catalog, checks, edges, graph, integrity, rules, sequences, texts, tree
 from ..streaming import sessions
 from . import service
 
-_MODULES = (catalog, checks, rules, sequences, texts, graph, service, sessions, probes)
+_MODULES = (catalog, edges, calculations, checks, integrity, rules, sequences, texts, graph, tree, service, sessions, probes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
