@@ -48,7 +48,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word counts (word, n) and the pairs that are frequent in some batch (key)."""
+    """Word counts (word, n), and the pairs that are frequent in some batch (key) with the documents of these batches that have them (n)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -63,12 +63,13 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             found, n = np.unique(keys, return_counts=True)
             often = found[(n >= FREQUENT * batch.num_rows) & (n >= 32)]
             if len(often):
-                yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(often)), _long(often.view(np.int64)), pa.array([0] * len(often), pa.int64())], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(often)), _long(often.view(np.int64)), _long(n[(n >= FREQUENT * batch.num_rows) & (n >= 32)])], names=["kind", "key", "n"])
         if waiting:
             yield _counted(waiting, "word")
 
     both = stash(docs.select("text").mapInArrow(run, "kind string, key long, n long"))
-    return stash(both.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"))), both.where("kind = 'pair'").select("key").distinct()
+    pairs = both.where("kind = 'pair'").groupBy("key").agg(F.sum("n").alias("n"))
+    return stash(both.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"))), pairs
 
 
 def _counted(waiting: list[np.ndarray], kind: str) -> pa.RecordBatch:
@@ -77,7 +78,12 @@ def _counted(waiting: list[np.ndarray], kind: str) -> pa.RecordBatch:
 
 
 def _count_frequent(docs: DataFrame, candidates: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact counts of the frequent pairs, sorted by key; a document has few pairs, so few can have at least a fixed share of all documents."""
+    """Exact counts of the frequent pairs, sorted by key.
+
+    Candidates are those found in a quarter of the least number of documents, so at most 256 times the mean number of pairs of a document
+    reach the driver. Others are dealt by hash like any pair, which gives the same scores.
+    """
+    candidates = candidates.where(F.col("n") >= least / 4).select("key")
     keys = np.sort(np.array([r[0] for r in candidates.toLocalIterator()], np.int64).view(np.uint64))
     if not len(keys):
         return keys, np.zeros(0, np.int64)
