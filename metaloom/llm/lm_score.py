@@ -5,13 +5,19 @@ A word's score given the one before it is the pair's count over the count of the
 isn't scored by itself; a word that no other document has counts `UNSEEN`. A document's score is the mean logarithm over its words; the first has no
 word before it and takes its share. Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, known by 64-bit hashes.
 
-Pairs are exploded a batch of documents at a time and dealt by hash, packed as arrays, to the partitions of the pair table; a partition
-counts its pairs and returns, packed by batch, what its counts add to the documents' sums. Pairs that stand in a large part of the documents
-would meet in one partition: they are found first, counted by partial sums, and looked up where the documents are. Word counts are
-broadcast while those above one fit `WORDS` rows (all other words have one); beyond that they are joined to the documents' distinct words by hash.
+Pairs are exploded to rows (pair, document, times) and dealt by the pair's hash to the partitions of the count table, where a window sums a
+pair's rows and joins the sum to each of them; what a row is worth is summed by document. Two things keep this in bounds:
 
-Null and empty texts have no words and the score 0. Repeated rows count and are scored each; null ids pass through; an empty table gives an
-empty result; columns other than doc_id and text take no part.
+* Pairs that no second document has change no score. They are left out where a sketch of fixed size (two bits for each of 2**`SKETCH_BITS`
+  hashes: seen once, seen twice) shows it; its errors let some of them through, and drop none that a second document has.
+* Pairs that stand in a large part of the documents would meet in one partition: they are found first, counted by partial sums, and looked up
+  where the documents are.
+
+Word counts are broadcast while those above one fit `WORDS` rows (all other words have one); beyond that they are joined to the documents'
+distinct words by hash.
+
+Null and empty texts have no words and the score 0. Repeated rows count and are scored each; null ids pass through; of very long texts a batch
+holds one; an empty table gives an empty result; columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -22,14 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, mix, small_batches, stash, table, text_buffer, word_hashes
+from .common import batches, columns_of, discard, mix, small_batches, stash, table, text_buffer, word_hashes
 
 ALPHA, UNSEEN = 0.4, 0.5
-#: Most rows of word counts to broadcast; share of a batch's documents from which a pair is looked at as frequent; pairs in a partition.
-WORDS, FREQUENT, PAIRS = 8 << 20, 1 / 8, 1 << 21
+#: Most rows of word counts to broadcast; share of a batch's documents from which a pair is looked at as frequent.
+WORDS, FREQUENT = 8 << 20, 1 / 8
+#: Bits of the pairs' sketch, and of a chunk of it that travels in one row.
+SKETCH_BITS, CHUNK_BITS = 28, 22
 
 
 def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,11 +55,65 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64, copy=False))
 
 
-def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word counts (word, n), and the pairs that are frequent in some batch (key) with the documents of these batches that have them (n)."""
+class _Seen:
+    """Bits of the hashes that one text and that several texts have."""
+
+    def __init__(self):
+        self.once, self.twice = (np.zeros(1 << (SKETCH_BITS - 3), np.uint8) for _ in range(2))
+
+    def add(self, keys: np.ndarray) -> None:
+        """Keys of a batch, those of one text without repeats."""
+        at, n = np.unique(keys >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+        if not len(at):
+            return
+        byte, bit = (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8)
+        start = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        where = byte[start]
+        any_, several = np.bitwise_or.reduceat(bit, start), np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), start)
+        self.twice[where] |= several | (self.once[where] & any_)
+        self.once[where] |= any_
+
+    def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        size = 1 << (CHUNK_BITS - 3)
+        for k in range(1 << (SKETCH_BITS - CHUNK_BITS)):
+            once, twice = (x[k * size : (k + 1) * size] for x in (self.once, self.twice))
+            if once.any():
+                yield k, zlib.compress(once.tobytes(), 1), zlib.compress(twice.tobytes(), 1)
+
+
+def _shared(rows: DataFrame) -> bytes:
+    """Bits of the hashes that several texts have, from the tasks' chunks (key: chunk, once, twice); its size is fixed."""
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, once, twice = None, None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["key", "twice"])
+        for batch in it:
+            for i in range(batch.num_rows):
+                k, a, b = batch.column(0)[i].as_py(), *(np.frombuffer(zlib.decompress(batch.column(c)[i].as_py()), np.uint8) for c in (1, 2))
+                if k != here:
+                    if here is not None:
+                        yield done()
+                    here, once, twice = k, np.zeros_like(a), np.zeros_like(a)
+                twice |= b | (once & a)
+                once |= a
+        if here is not None:
+            yield done()
+
+    out = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
+    size = 1 << (CHUNK_BITS - 3)
+    for r in rows.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key long, twice binary").toLocalIterator():
+        out[r["key"] * size : (r["key"] + 1) * size] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+    return out.tobytes()
+
+
+_COUNTED = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
+
+
+def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame, bytes]:
+    """Word counts (word, n); the pairs that are frequent in some batch (key) with the documents of these batches that have them (n); the pairs' sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
+        waiting, held, seen = [], 0, _Seen()
         for batch in batches(it, 2 << 20):
             words, first = word_hashes(*text_buffer(batch.column(0)))
             waiting.append(words)
@@ -60,21 +122,31 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield _counted(waiting, "word")
                 waiting, held = [], 0
             keys, _, _ = _pairs(words, first)
+            seen.add(keys)
             found, n = np.unique(keys, return_counts=True)
-            often = found[(n >= FREQUENT * batch.num_rows) & (n >= 32)]
-            if len(often):
-                yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(often)), _long(often.view(np.int64)), _long(n[(n >= FREQUENT * batch.num_rows) & (n >= 32)])], names=["kind", "key", "n"])
+            often = (n >= FREQUENT * batch.num_rows) & (n >= 32)
+            if often.any():
+                yield _rows(["pair"] * int(often.sum()), found[often].view(np.int64), n[often])
         if waiting:
             yield _counted(waiting, "word")
+        for k, once, twice in seen.chunks():
+            yield pa.RecordBatch.from_arrays([pa.array(["seen"]), pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], schema=_COUNTED)
+
+    every = stash(docs.select("text").mapInArrow(run, "kind string, key long, n long, once binary, twice binary"))
+    words = stash(every.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n")))
+    pairs = stash(every.where("kind = 'pair'").groupBy("key").agg(F.sum("n").alias("n")))
+    sketch = _shared(every.where("kind = 'seen'").select("key", "once", "twice"))
+    discard(every)
+    return words, pairs, sketch
+
 
-    both = stash(docs.select("text").mapInArrow(run, "kind string, key long, n long"))
-    pairs = both.where("kind = 'pair'").groupBy("key").agg(F.sum("n").alias("n"))
-    return stash(both.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"))), pairs
+def _rows(kind: list[str], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), _long(key), _long(n), *[pa.nulls(len(kind), pa.binary())] * 2], schema=_COUNTED)
 
 
 def _counted(waiting: list[np.ndarray], kind: str) -> pa.RecordBatch:
     found, n = np.unique(np.concatenate(waiting), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(found)), _long(found.view(np.int64)), _long(n)], names=["kind", "key", "n"])
+    return _rows([kind] * len(found), found.view(np.int64), n)
 
 
 def _count_frequent(docs: DataFrame, candidates: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,33 +184,19 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-#: Documents of a batch, which one byte tells apart.
-DOCS = 256
-_DEALT = "part int, first long, at binary, key binary, excess binary, n binary"
-_SUMS = "first long, doc_id binary, known binary, words binary, sum binary"
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys by planes of bytes; the two highest planes hardly change and are compressed."""
-    planes = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    high = zlib.compress(planes[6:].tobytes(), 1)
-    return len(high).to_bytes(4, "little") + high + planes[:6].tobytes()
-
+_EXPLODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("excess", pa.float64()), ("doc_id", pa.int64())])
 
-def _keys(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(data[4 + size :] + zlib.decompress(data[4 : 4 + size]), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
+def _explode(docs: DataFrame, shared: Broadcast, joined: bool) -> DataFrame:
+    """Rows (key, row, n, excess) of pairs: n times in the document, and the logarithm that a match replaces, in single precision.
 
-def _deal(docs: DataFrame, shared: Broadcast, parts: int, joined: bool) -> DataFrame:
-    """Arrays for each partition: of a batch's documents their row, id and sum if every word backed off, and its pairs with what a match changes, less the pair's own logarithm."""
-    bits = parts.bit_length() - 1
-    schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("at", pa.binary()), ("key", pa.binary()), ("excess", pa.binary()), ("n", pa.binary())])
+    A document has one more row, under a key of its own: n is -1 less its words, excess its sum if every word backed off, doc_id its id.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, word_keys, word_counts, often_keys, often_counts = shared.value
-        for batch in (b.slice(i, DOCS) for b in batches(it, 2 << 20) for i in range(0, b.num_rows, DOCS)):
+        total, word_keys, word_counts, often_keys, often_counts, sketch = shared.value
+        several = np.frombuffer(sketch, np.uint8)
+        for batch in batches(it, 2 << 20):
             words, first = word_hashes(*text_buffer(batch.column(2)))
             size = np.diff(first)
             text = np.repeat(np.arange(batch.num_rows), size)
@@ -166,94 +224,19 @@ def _deal(docs: DataFrame, shared: Broadcast, parts: int, joined: bool) -> DataF
                 match = hit & (count > n)
                 base += np.bincount(d[match], n[match] * (np.log(count[match] - n[match]) - excess[match]), minlength=batch.num_rows)
                 k, d, n, excess = k[~hit], d[~hit], n[~hit], excess[~hit]
-            order = np.argsort(k)
-            k, d, n, excess = k[order], d[order], n[order], excess[order]
-            bounds = np.searchsorted((k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64), np.arange(parts + 1))
-            row = int(batch.column(0)[0].as_py())
-            doc_id, known = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            # the batch itself: ids, word counts and sums stand in the columns of the pairs
-            out = [[row % parts, row, doc_id.astype("<i8").tobytes() + known.tobytes(), None, base.astype("<f8").tobytes(), size.astype("<i8").tobytes()]]
-            for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if b > a:
-                    out.append([part, row, d[a:b].astype(np.uint8).tobytes(), _packed_keys(k[a:b]), excess[a:b].astype("<f4").tobytes(), zlib.compress(n[a:b].astype("<u4").tobytes(), 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return docs.mapInArrow(run, _DEALT)
-
-
-_SUMS_SCHEMA = pa.schema([("first", pa.int64()), ("doc_id", pa.binary()), ("known", pa.binary()), ("words", pa.binary()), ("sum", pa.binary())])
-
-
-def _add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts each partition's pairs and adds what they are worth to the documents' sums, a row for a batch of documents."""
-    here, held = None, []
-    sums: dict[int, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if sums:
-            n = len(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.nulls(n, pa.binary())] * 3, pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], schema=_SUMS_SCHEMA)
-            sums.clear()
-
-    def settle() -> None:
-        key = np.concatenate([_keys(x) for _, _, x, _, _ in held])
-        at = np.concatenate([np.frombuffer(a, np.uint8).astype(np.int64) + i * DOCS for i, (_, a, _, _, _) in enumerate(held)])
-        excess = np.concatenate([np.frombuffer(e, "<f4") for _, _, _, e, _ in held])
-        n = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for _, _, _, _, x in held]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        count = np.empty(len(k), np.int64)
-        count[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.r_[start, len(k)]))
-        others = count - n
-        match = others > 0
-        change = n[match] * (np.log(others[match]) - excess[match])
-        added = np.bincount(at[match], change, minlength=len(held) * DOCS).reshape(-1, DOCS)
-        for (first, *_), x in zip(held, added, strict=True):
-            sums[first] = sums[first] + x if first in sums else x
-
-    for batch in it:
-        for i in range(batch.num_rows):
-            part, first, at, key, excess, n = (batch.column(c)[i].as_py() for c in range(6))
-            if part != here and held:
-                settle()
-                held = []
-                if len(sums) > 1 << 14:
-                    yield from flush()
-            here = part
-            if key is None:
-                size = len(n)
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *[pa.array([x], pa.binary()) for x in (at[:size], at[size:], n, excess)]], schema=_SUMS_SCHEMA)
-            else:
-                held.append((first, at, key, excess, n))
-    if held:
-        settle()
-    yield from flush()
-
-
-def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the rows of one batch of documents, which come together, and its documents' scores."""
-    here, total, own = None, np.zeros(DOCS), None
-
-    def scores() -> pa.RecordBatch:
-        doc_id, known, words, base = own
-        doc_id, words = np.frombuffer(doc_id, "<i8"), np.frombuffer(words, "<i8")
-        value = (np.frombuffer(base, "<f8") + total[: len(doc_id)]) / np.maximum(words, 1)
-        return pa.RecordBatch.from_arrays([pa.array(doc_id, mask=~np.frombuffer(known, bool)), pa.array(words), pa.array(np.where(words > 0, value, 0.0))], names=["doc_id", "n_words", "score"])
-
-    for batch in it:
-        for i in range(batch.num_rows):
-            first, *rest = (batch.column(c)[i].as_py() for c in range(5))
-            if first != here and own is not None:
-                yield scores()
-            if first != here:
-                here, total, own = first, np.zeros(DOCS), None
-            if rest[0] is None:
-                total += np.frombuffer(rest[3], "<f8")
-            else:
-                own = rest
-    if own is not None:
-        yield scores()
+            cell = k >> np.uint64(64 - SKETCH_BITS)
+            kept = several[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
+            k, d, n, excess = k[kept], d[kept], n[kept], excess[kept]
+            row = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [
+                _long(np.r_[mix(row.astype(np.uint64)), k].view(np.int64)), _long(np.r_[row, row[d]]), pa.array(np.r_[-1 - size, n].astype(np.int32)),
+                pa.array(np.r_[base, excess.astype(np.float32).astype(np.float64)]), pa.concat_arrays([batch.column(1).cast(pa.int64()), pa.nulls(len(k), pa.int64())]),
+            ]
+            every = pa.RecordBatch.from_arrays(columns, schema=_EXPLODED)
+            for i in range(0, every.num_rows, 1 << 16):
+                yield every.slice(i, 1 << 16)
+
+    return docs.mapInArrow(run, "key long, row long, n int, excess double, doc_id long")
 
 
 def _distinct_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -277,7 +260,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
-    words, candidates = count_words(docs)
+    words, candidates, sketch = count_words(docs)
     repeated = words.where("n > 1")
     total, rows = (x or 0 for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 1)).first())
     often = _count_frequent(docs, candidates, docs.count() / 64)
@@ -290,11 +273,14 @@ def score(docs: DataFrame) -> DataFrame:
         keys, n = arrow.column(0).to_numpy().view(np.uint64), arrow.column(1).to_numpy()
         order = np.argsort(keys)
         table_ = keys[order], n[order]
-    shared = spark.sparkContext.broadcast((total, *table_, *often))
-    parts = 1 << max(0, (total // PAIRS).bit_length())
-    dealt = _deal(docs, shared, parts, joined).repartition("part").sortWithinPartitions("part")
-    sums = dealt.mapInArrow(_add_up, _SUMS).repartition("first").sortWithinPartitions("first")
-    return sums.mapInArrow(_finish, "doc_id long, n_words long, score double")
+    discard(words, candidates)
+    shared = spark.sparkContext.broadcast((total, *table_, *often, sketch))
+    exploded = _explode(docs, shared, joined)
+    # the count table and its join with the rows, both in the partition of the pair
+    counted = exploded.withColumn("others", F.sum("n").over(Window.partitionBy("key")) - F.col("n"))
+    worth = F.when(F.col("n") < 0, F.col("excess")).otherwise(F.col("n") * (F.ln("others") - F.col("excess")))
+    sums = counted.where("n < 0 or others > 0").groupBy("row").agg(F.sum(worth).alias("sum"), F.max("doc_id").alias("doc_id"), (-1 - F.min("n")).cast("long").alias("n_words"))
+    return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(0.0).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
