@@ -46,9 +46,9 @@ RELEASE_SECONDS = 2.0
 _last: dict[str, float] = {}
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, now: bool = False) -> None:
     """Lets the driver drop the plans, broadcasts and shuffle files of finished steps, which Spark removes once a collection finds them unused."""
-    if time.monotonic() - _last.get("release", 0.0) > RELEASE_SECONDS:
+    if now or time.monotonic() - _last.get("release", 0.0) > RELEASE_SECONDS:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _last["release"] = time.monotonic()

@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, discard, mix, small_batches, stash, table, text_buffer, word_hashes
+from .common import batches, columns_of, discard, mix, release, small_batches, stash, table, text_buffer, word_hashes
 
 ALPHA, UNSEEN = 0.4, 0.5
 #: Most rows of word counts to broadcast; share of a batch's documents from which a pair is looked at as frequent.
@@ -184,13 +184,16 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-_EXPLODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("excess", pa.float64()), ("doc_id", pa.int64())])
+_EXPLODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("packed", pa.int64())])
+#: What a row is, in the two lowest bits of `row`; fixed points of the pairs' logarithms (24 bits, as precise as a single float) and of sums.
+PAIR, SUM, SIZE, ID = range(4)
+LOG_STEPS, LOG_LEAST, SUM_STEPS = 1 << 17, -64, 1 << 20
 
 
 def _explode(docs: DataFrame, shared: Broadcast, joined: bool) -> DataFrame:
-    """Rows (key, row, n, excess) of pairs: n times in the document, and the logarithm that a match replaces, in single precision.
+    """Rows (key, row, packed): of a pair the times it stands in the document, and the logarithm that a match replaces, in the lowest 24 bits.
 
-    A document has one more row, under a key of its own: n is -1 less its words, excess its sum if every word backed off, doc_id its id.
+    A document has three more rows, under keys of their own: its sum if every word backed off, its number of words, and its id unless that is null.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +230,17 @@ def _explode(docs: DataFrame, shared: Broadcast, joined: bool) -> DataFrame:
             cell = k >> np.uint64(64 - SKETCH_BITS)
             kept = several[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
             k, d, n, excess = k[kept], d[kept], n[kept], excess[kept]
-            row = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = [
-                _long(np.r_[mix(row.astype(np.uint64)), k].view(np.int64)), _long(np.r_[row, row[d]]), pa.array(np.r_[-1 - size, n].astype(np.int32)),
-                pa.array(np.r_[base, excess.astype(np.float32).astype(np.float64)]), pa.concat_arrays([batch.column(1).cast(pa.int64()), pa.nulls(len(k), pa.int64())]),
-            ]
-            every = pa.RecordBatch.from_arrays(columns, schema=_EXPLODED)
+            row = batch.column(0).to_numpy(zero_copy_only=False) * 4
+            known, ids = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            own_rows = np.r_[row + SUM, row + SIZE, row[known] + ID]
+            logs = np.clip(np.rint((excess - LOG_LEAST) * LOG_STEPS).astype(np.int64), 0, (1 << 24) - 1)
+            packed = np.r_[np.rint(base * SUM_STEPS).astype(np.int64), size, ids[known], (n << 24) | logs]
+            keys = np.r_[mix(own_rows.astype(np.uint64)), k].view(np.int64)
+            every = pa.RecordBatch.from_arrays([_long(keys), _long(np.r_[own_rows, row[d] + PAIR]), _long(packed)], schema=_EXPLODED)
             for i in range(0, every.num_rows, 1 << 16):
                 yield every.slice(i, 1 << 16)
 
-    return docs.mapInArrow(run, "key long, row long, n int, excess double, doc_id long")
+    return docs.mapInArrow(run, "key long, row long, packed long")
 
 
 def _distinct_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -276,10 +280,15 @@ def score(docs: DataFrame) -> DataFrame:
     discard(words, candidates)
     shared = spark.sparkContext.broadcast((total, *table_, *often, sketch))
     exploded = _explode(docs, shared, joined)
+    release(spark, now=True)  # lets go of the counts' shuffle files
     # the count table and its join with the rows, both in the partition of the pair
-    counted = exploded.withColumn("others", F.sum("n").over(Window.partitionBy("key")) - F.col("n"))
-    worth = F.when(F.col("n") < 0, F.col("excess")).otherwise(F.col("n") * (F.ln("others") - F.col("excess")))
-    sums = counted.where("n < 0 or others > 0").groupBy("row").agg(F.sum(worth).alias("sum"), F.max("doc_id").alias("doc_id"), (-1 - F.min("n")).cast("long").alias("n_words"))
+    kind = F.col("row").bitwiseAND(F.lit(3))
+    n = F.when(kind == PAIR, F.shiftright("packed", 24))
+    counted = exploded.withColumn("others", F.sum(n).over(Window.partitionBy("key")) - n).where((kind != PAIR) | (F.col("others") > 0))
+    log = F.col("packed").bitwiseAND(F.lit((1 << 24) - 1)) / LOG_STEPS + LOG_LEAST
+    worth = F.when(kind == PAIR, n * (F.ln("others") - log)).when(kind == SUM, F.col("packed") / SUM_STEPS)
+    of = lambda k: F.max(F.when(kind == k, F.col("packed")))
+    sums = counted.groupBy(F.shiftright("row", 2).alias("row")).agg(F.sum(worth).alias("sum"), of(ID).alias("doc_id"), of(SIZE).alias("n_words"))
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(0.0).alias("score"))
 
 
