@@ -105,7 +105,7 @@ def fn_predicates(spark: SparkSession, d: str) -> DataFrame:
     """NOT IN over a list with nulls finds nothing; without them it does; literal percent signs are escaped; shared subqueries are computed once."""
     orders, customers = load(spark, d, "orders"), load(spark, d, "customer")
     return spark.sql(
-        """WITH per AS (SELECT o_custkey, count(*) AS n, any_value(o_orderstatus IN ('F', 'O', 'P')) AS known, max(day(o_orderdate)) AS last_day FROM {orders} GROUP BY 1),
+        """WITH per AS (SELECT o_custkey, count(*) AS n, any_value(o_orderstatus IN ('F', 'O', 'P')) AS known, max(CAST(day(o_orderdate) AS BIGINT)) AS last_day FROM {orders} GROUP BY 1),
         listed AS (SELECT CASE WHEN n > 15 THEN o_custkey END AS k FROM per)
         SELECT c_custkey, coalesce(n, 0) AS n, known, last_day, c_custkey NOT IN (SELECT k FROM listed WHERE k IS NOT NULL) AS absent, coalesce(c_custkey NOT IN (SELECT k FROM listed), false) AS absent_with_nulls,
                c_name LIKE 'Customer!_%' ESCAPE '!' AS literal_underscore, lower(c_mktsegment) ILIKE 'AUTO%' AS auto
