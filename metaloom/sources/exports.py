@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 _STAMP = "STRUCT<_VALUE: STRING, _accountName: STRING, _modifications: BIGINT, _timestamp: STRING, _userName: STRING>"
 _REF = "STRUCT<_id: BIGINT, _name: STRING, _UUID: STRING>"
-_SIDE = f"STRUCT<_cascadeCreate: BOOLEAN, _cascadeDelete: BOOLEAN, TableOccurrenceReference: {_REF}>"
+_SORT = f"STRUCT<_value: BOOLEAN, SortList: STRUCT<Sort: ARRAY<STRUCT<PrimaryField: STRUCT<FieldReference: {_REF}>, ValueListReference: {_REF}>>>>"
+_SIDE = f"STRUCT<_cascadeCreate: BOOLEAN, _cascadeDelete: BOOLEAN, TableOccurrenceReference: {_REF}, SortSpecification: {_SORT}>"
+_HASHED = "STRUCT<Calculation: STRUCT<DDRREF: STRUCT<_VALUE: STRING, _hash: STRING>>, _enable: BOOLEAN>"
 
 
 def records(spark: SparkSession, path: str, tag: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -58,24 +61,38 @@ def occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relationships(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each join predicate, counted from 1."""
+    """One row for each join predicate, counted from 1; a side's sorts, where they are switched on, as arrays of (field_uuid, list_uuid)."""
     field = f"STRUCT<FieldReference: {_REF}>"
     predicate = f"ARRAY<STRUCT<_type: STRING, LeftField: {field}, RightField: {field}>>"
     df = records(spark, path, "Relationship", f"_id BIGINT, UUID {_STAMP}, LeftTable {_SIDE}, RightTable {_SIDE}, JoinPredicateList STRUCT<JoinPredicate: {predicate}>")
     sides = [F.col(f"{s}Table.TableOccurrenceReference._{c}").alias(f"{s.lower()}_{c.lower()}") for s in ("Left", "Right") for c in ("name", "UUID")]
     rules = [F.coalesce(f"{s}Table._cascade{c}", F.lit(False)).alias(f"{s.lower()}_cascade_{c.lower()}") for s in ("Left", "Right") for c in ("Create", "Delete")]
-    rows = df.where("LeftTable is not null").select("file_name", F.col("_id").alias("id"), *sides, *rules, *_stamps(), F.posexplode_outer("JoinPredicateList.JoinPredicate").alias("at", "p"))
+    sorts = [F.expr(f"CASE WHEN {s}Table.SortSpecification._value THEN transform({s}Table.SortSpecification.SortList.Sort, x -> named_struct('field_uuid', nullif(x.PrimaryField.FieldReference._UUID, ''), 'list_uuid', nullif(x.ValueListReference._UUID, ''))) END").alias(f"{s.lower()}_sorts") for s in ("Left", "Right")]
+    rows = df.where("LeftTable is not null").select("file_name", F.col("_id").alias("id"), *sides, *rules, *sorts, *_stamps(), F.posexplode_outer("JoinPredicateList.JoinPredicate").alias("at", "p"))
     fields = [F.col(f"p.{s}Field.FieldReference._{c}").alias(f"{s.lower()}_field_{c.lower()}") for s in ("Left", "Right") for c in ("name", "UUID")]
     return rows.select("*", (F.col("at") + 1).cast("long").alias("predicate"), F.col("p._type").alias("operator"), *fields).drop("at", "p")
 
 
 def fields(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of all base tables."""
-    item = f"STRUCT<_id: BIGINT, _name: STRING, _fieldtype: STRING, _datatype: STRING, _comment: STRING, UUID: {_STAMP}, Storage: STRUCT<_global: BOOLEAN, _index: STRING, _maxRepetitions: BIGINT>>"
+    """Fields of all base tables, with what their options refer to (a lookup that is switched off refers to nothing) and the hashes of their calculations by slot."""
+    lookup = f"STRUCT<_enable: BOOLEAN, FieldReference: STRUCT<_id: BIGINT, _name: STRING, _UUID: STRING, TableOccurrenceReference: {_REF}>, Context: STRUCT<TableOccurrenceReference: {_REF}>>"
+    item = (
+        f"STRUCT<_id: BIGINT, _name: STRING, _fieldtype: STRING, _datatype: STRING, _comment: STRING, UUID: {_STAMP}, Storage: STRUCT<_global: BOOLEAN, _index: STRING, _maxRepetitions: BIGINT>, "
+        f"Calculation: STRUCT<DDRREF: STRUCT<_VALUE: STRING, _hash: STRING>>, AutoEnter: STRUCT<_type: STRING, Looked_up: {lookup}, Calculated: {_HASHED}>, "
+        f"Validation: STRUCT<_type: STRING, ValueListReference: {_REF}, Calculated: {_HASHED}, MessageCalc: {_HASHED}>, SummaryInfo: STRUCT<_operation: STRING, SummaryField: STRUCT<FieldReference: {_REF}>>, DisplayNames: {_HASHED}>"
+    )
     df = records(spark, path, "FieldCatalog", f"BaseTableReference {_REF}, ObjectList STRUCT<Field: ARRAY<{item}>>")
     rows = df.select("file_name", F.col("BaseTableReference._name").alias("base_table"), F.col("BaseTableReference._UUID").alias("base_table_uuid"), F.explode("ObjectList.Field").alias("f"))
     names = {"id": "_id", "name": "_name", "field_type": "_fieldtype", "data_type": "_datatype", "comment": "_comment", "is_global": "Storage._global", "repetitions": "Storage._maxRepetitions"}
-    return rows.select("file_name", "base_table", "base_table_uuid", *[F.col(f"f.{c}").alias(k) for k, c in names.items()], *_stamps("f.UUID"))
+    looked = "f.AutoEnter._type = 'Looked_up' AND coalesce(f.AutoEnter.Looked_up._enable, true)"
+    refs = {
+        "lookup_field_uuid": f"CASE WHEN {looked} THEN f.AutoEnter.Looked_up.FieldReference._UUID END", "lookup_to_uuid": f"CASE WHEN {looked} THEN f.AutoEnter.Looked_up.FieldReference.TableOccurrenceReference._UUID END",
+        "lookup_start_to_uuid": f"CASE WHEN {looked} THEN f.AutoEnter.Looked_up.Context.TableOccurrenceReference._UUID END", "summary_field_uuid": "f.SummaryInfo.SummaryField.FieldReference._UUID",
+        "validation_list_uuid": "f.Validation.ValueListReference._UUID", "calculation_hash": "f.Calculation.DDRREF._hash",
+    }
+    slots = {"auto_enter_hash": "AutoEnter.Calculated", "validation_hash": "Validation.Calculated", "validation_message_hash": "Validation.MessageCalc", "display_names_hash": "DisplayNames"}
+    refs |= {k: f"CASE WHEN coalesce(f.{v}._enable, true) THEN f.{v}.Calculation.DDRREF._hash END" for k, v in slots.items()}
+    return rows.select("file_name", "base_table", "base_table_uuid", *[F.col(f"f.{c}").alias(k) for k, c in names.items()], *[F.nullif(F.expr(v), F.lit("")).alias(k) for k, v in refs.items()], *_stamps("f.UUID"))
 
 
 def steps(spark: SparkSession, path: str) -> DataFrame:
@@ -86,39 +103,101 @@ def steps(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", "script_id", "script_name", "script_uuid", F.col("s._index").alias("step_index"), F.col("s._id").alias("step_id"), F.col("s._name").alias("step_name"), F.coalesce("s._enable", F.lit(True)).alias("is_enabled"), F.col("s.ParameterValues").alias("body"), *_stamps("s.UUID"))
 
 
-_BOX = "file_name string, layout_id long, layout_name string, layout_uuid string, part string, object_id long, parent_id long, type string, name string, hash string, uuid string, nesting long, z_order long, left double, top double, right double, bottom double"
+_OBJECT_REF = "struct<ref_type: string, ref_id: bigint, ref_name: string, ref_uuid: string, to_uuid: string, step_id: bigint, action: string>"
+_BOX = (
+    "file_name string, layout_id long, layout_name string, layout_uuid string, part string, object_id long, parent_id long, parent_uuid string, type string, name string, hash string, uuid string, "
+    f"nesting long, z_order long, left double, top double, right double, bottom double, text string, refs array<{_OBJECT_REF}>"
+)
 
 
 def layout_objects(spark: SparkSession, path: str) -> DataFrame:
     """Objects of layouts, nested to any depth, which no schema can state: each layout's parts are walked by themselves.
 
-    nesting is 0 for objects that stand in a part; z_order counts a layout's objects in document order from 1.
+    nesting is 0 for objects that stand in a part; z_order counts a layout's objects in document order from 1; text is an object's own
+    text, and refs what it refers to itself, without the objects in it (kinds as in `_object_refs`).
     """
     df = records(spark, path, "Layout", f"_id BIGINT, _name STRING, UUID {_STAMP}, PartsList STRING")
     layouts = df.where("PartsList is not null").select("file_name", F.col("_id").alias("layout_id"), F.col("_name").alias("layout_name"), F.trim("UUID._VALUE").alias("layout_uuid"), "PartsList")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _BOX.split(", ")]
+        columns = re.findall(r"(\w+) (?:string|long|double|array)", _BOX)
         for layouts in batches:
             out = []
             for row in layouts.itertuples(index=False):
                 body = row.PartsList if row.PartsList.lstrip().startswith("<PartsList") else f"<PartsList>{row.PartsList}</PartsList>"
                 order = 0
-                waiting = [(o, p.get("type"), None, 0) for p in ET.fromstring(body).findall("Part") for o in p.findall("ObjectList/LayoutObject")][::-1]
+                waiting = [(o, p.get("type"), None, None, 0) for p in ET.fromstring(body).findall("Part") for o in p.findall("ObjectList/LayoutObject")][::-1]
                 while waiting:
-                    o, part, parent, depth = waiting.pop()
+                    o, part, parent, parent_uuid, depth = waiting.pop()
                     order += 1
-                    number = int(o.get("id")) if (o.get("id") or "").isdigit() else None
+                    number, uuid = _number(o.get("id")), (o.findtext("UUID") or "").strip() or None
                     box = o.find("Bounds")
                     sides = [float(box.get(s)) if box is not None and box.get(s) else None for s in ("left", "top", "right", "bottom")]
-                    out.append((*row[:4], part, number, parent, o.get("type"), o.get("name"), o.get("hash"), (o.findtext("UUID") or "").strip() or None, depth, order, *sides))
-                    waiting += [(x, part, number, depth + 1) for x in _children(o)][::-1]
+                    text = "".join(e.text or "" for e, _ in _own(o) if e.tag == "Data") or None
+                    out.append((*row[:4], part, number, parent, parent_uuid, o.get("type"), o.get("name"), o.get("hash"), uuid, depth, order, *sides, text, _object_refs(o)))
+                    waiting += [(x, part, number, uuid, depth + 1) for x in _children(o)][::-1]
             frame = pd.DataFrame(out, columns=columns)
             yield frame.astype({c: "Int64" for c in ("layout_id", "object_id", "parent_id", "nesting", "z_order")})
 
     return layouts.mapInPandas(walk, _BOX)
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def _own(o: ET.Element) -> Iterator[tuple[ET.Element, bool]]:
+    """The elements below a layout object that belong to no object in it, in document order, and whether they lie among its triggers."""
+    waiting = [(e, False) for e in list(o)[::-1]]
+    while waiting:
+        e, trigger = waiting.pop()
+        if e.tag == "LayoutObject":
+            continue
+        trigger = trigger or e.tag == "ScriptTriggers"
+        yield e, trigger
+        waiting += [(x, trigger) for x in list(e)[::-1]]
+
+
+def _object_refs(o: ET.Element) -> list[dict]:
+    """References of a layout object: field, merge_field, value_list, portal, sort_list, trigger (with its action and number), script (besides triggers),
+    and of a button's step layout_step, occurrence_step, field_step (with the step's type); calculation has the hash as name."""
+    out: list[dict] = []
+
+    def add(kind: str, e: ET.Element | None, step: int | None = None, action: str | None = None) -> None:
+        if e is not None and (e.get("UUID") or e.get("name")):
+            to = e.find("TableOccurrenceReference")
+            out.append({"ref_type": kind, "ref_id": _number(e.get("id")), "ref_name": e.get("name"), "ref_uuid": e.get("UUID") or None, "to_uuid": to.get("UUID") if to is not None else None, "step_id": step, "action": action})
+
+    add("field", o.find("Field/FieldReference"))
+    for e in o.findall("FieldList/FieldReference"):
+        add("merge_field", e)
+    add("value_list", o.find("Field/Display/ValueListReference"))
+    if o.get("type") == "Portal":
+        add("portal", o.find("Portal/TableOccurrenceReference"))
+        for e in o.findall("Portal/SortSpecification/SortList/Sort/ValueListReference"):
+            add("sort_list", e)
+    for step in o.findall("GroupedButton/action/Step") + o.findall("Button/action/Step"):
+        kind = _number(step.get("id"))
+        for e in step.findall("ParameterValues/Parameter/SortSpecification/SortList/Sort/ValueListReference"):
+            add("sort_list", e, kind)
+        add("layout_step", next(step.iter("LayoutReference"), None), kind)
+        if kind == 74:  # goes to related records
+            add("occurrence_step", next(step.iter("TableOccurrenceReference"), None), kind)
+        for values in step.findall("ParameterValues"):
+            for e in values.iter("FieldReference"):
+                add("field_step", e, kind)
+    for t in o.findall("ScriptTriggers/ScriptTrigger"):
+        script = t.find("ScriptReference")
+        name, uuid = (script.get("name"), script.get("UUID") or None) if script is not None else (None, None)
+        out.append({"ref_type": "trigger", "ref_id": _number(t.get("id")), "ref_name": name, "ref_uuid": uuid, "to_uuid": None, "step_id": None, "action": t.get("action")})
+    for e, trigger in _own(o):
+        if e.tag == "ScriptReference" and not trigger:
+            add("script", e)
+        elif e.tag == "DDRREF" and e.get("hash") and e.get("kind") != "StepText":
+            out.append({"ref_type": "calculation", "ref_id": None, "ref_name": e.get("hash"), "ref_uuid": None, "to_uuid": None, "step_id": None, "action": None})
+    return out
+
+
 def _children(element: ET.Element) -> list[ET.Element]:
     """The nearest layout objects below an element, whatever stands between."""
     out, waiting = [], list(element)[::-1]
