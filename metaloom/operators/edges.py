@@ -85,10 +85,10 @@ BLOCKS = [
     _b("button_script", "layout_objects", "LayoutObject uuid", "Script button_script", "triggers_script", "button"),
     _b("button_layout", "layout_objects", "LayoutObject uuid", "Layout button_layout", "navigates_to_layout", "button"),
     _b("button_occurrence", "layout_objects", "LayoutObject uuid", "TableOccurrence button_to", "navigates_to_to", "button"),
-    _b("button_field", "layout_objects", "LayoutObject uuid", "Field button_field", "references_field", "button"),
+    _b("button_field", "layout_objects", "LayoutObject uuid", "Field button_field", "[button_role]", "button"),
     _b("object_symbol", "layout_objects", "LayoutObject uuid", "BuiltinFunction symbol", "displays_symbol"),
     _b("step_script", "steps", "ScriptStep uuid", "Script script", "parent_script"),
-    _b("script_calls", "steps", "Script script", "Script called_script", "calls_script"),
+    _b("script_calls", "steps", "Script script", "Script called_script", "calls_script", "[call_context]"),
     _b("script_field", "steps", "Script script", "Field field", "[field_role]"),
     _b("script_sort_field", "steps", "Script script", "Field sort_field", "sorts_by_field"),
     _b("script_sort_list", "steps", "Script script", "ValueList sort_list", "sorts_by_valuelist"),
@@ -117,10 +117,10 @@ BLOCKS = [
     _b("file_layout", "file_options", "File file_name", "Layout default_layout", "default_layout"),
     _b("file_account", "file_options", "File file_name", "Account login_account", "auto_login_account"),
     _b("folder", "folders", "[item_type] uuid", "[folder_type] folder", "parent_folder"),
-    _b("calculation_field", "calc_refs", "[owner_type] owner", "Field target", "reads_field", "[subrole]", "ref_type = 'FieldRef' AND subrole <> 'validation'"),
-    _b("calculation_function", "calc_refs", "[owner_type] owner", "CustomFunction target", "calls_customfunction", "[subrole]", "ref_type = 'CustomFunctionRef' AND subrole <> 'validation'"),
-    _b("calculation_validates", "calc_refs", "[owner_type] owner", "Field target", "validates_by_calc", "[subrole]", "ref_type = 'FieldRef' AND subrole = 'validation'"),
-    _b("calculation_validates_function", "calc_refs", "[owner_type] owner", "CustomFunction target", "validates_by_calc", "[subrole]", "ref_type = 'CustomFunctionRef' AND subrole = 'validation'"),
+    _b("calculation_field", "calc_refs", "[owner_type] owner", "Field target", "reads_field", "[subrole]", "ref_type = 'FieldRef' AND NOT (owner_type = 'Field' AND subrole IN ('validation', 'validation_message'))"),
+    _b("calculation_function", "calc_refs", "[owner_type] owner", "CustomFunction target", "calls_customfunction", "[subrole]", "ref_type = 'CustomFunctionRef' AND NOT (owner_type = 'Field' AND subrole IN ('validation', 'validation_message'))"),
+    _b("calculation_validates", "calc_refs", "[owner_type] owner", "Field target", "validates_by_calc", "[subrole]", "ref_type = 'FieldRef' AND owner_type = 'Field' AND subrole IN ('validation', 'validation_message')"),
+    _b("calculation_validates_function", "calc_refs", "[owner_type] owner", "CustomFunction target", "validates_by_calc", "[subrole]", "ref_type = 'CustomFunctionRef' AND owner_type = 'Field' AND subrole IN ('validation', 'validation_message')"),
     _b("calculation_builtin", "calc_refs", "[owner_type] owner", "BuiltinFunction target", "calls_function", "[subrole]", "ref_type = 'FunctionRef'"),
     _b("calculation_plugin", "calc_refs", "[owner_type] owner", "PluginFunction target", "calls_pluginfunction", "[subrole]", "ref_type = 'PluginFunctionRef'"),
     _b("calculation_runs_script", "calc_refs", "[owner_type] owner", "Script run_script", "calls_script", "plugin", "ref_type = 'PluginFunctionRef'"),
@@ -176,9 +176,9 @@ RELATIONS = {
     "layouts": f"SELECT 'LAY' || s_suppkey AS uuid, 'TO' || s_nationkey AS context_to, 'TH' || (s_suppkey % 4) AS theme, CASE WHEN s_suppkey % 3 = 0 THEN 'MS' || (s_suppkey % 2) END AS menu_set, {_F % 's_nationkey'} FROM supplier",
     "table_columns": f"SELECT 'LAY' || s_suppkey AS layout, 'FLD' || (s_suppkey * 3) AS field, {_F % 's_nationkey'} FROM supplier",
     "layout_parts": f"SELECT 'LAY' || s_suppkey AS layout, CASE WHEN s_suppkey % 2 = 0 THEN 'FLD' || (s_suppkey * 5) END AS break_field, {_F % 's_nationkey'} FROM supplier",
-    "layout_objects": f"SELECT 'OBJ' || p_partkey AS uuid, 'LAY' || (p_partkey % 90) AS layout, CASE WHEN p_partkey % 3 = 0 THEN 'OBJ' || (p_partkey - 1) END AS parent, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS nesting, CASE WHEN p_partkey % 8 = 0 THEN 'Portal' ELSE 'Field' END AS type, CASE WHEN p_partkey % 4 <> 0 THEN 'FLD' || (p_partkey % 300) END AS field, CASE WHEN p_partkey % 6 = 0 THEN 'FLD' || (p_partkey % 11) END AS label_field, CASE WHEN p_partkey % 5 = 0 THEN 'VL' || (p_partkey % 12) END AS value_list, CASE WHEN p_partkey % 16 = 0 THEN 'VL' || (p_partkey % 7) END AS sort_list, 'TO' || (p_partkey % 25) AS portal_to, CASE WHEN p_partkey % 10 = 0 THEN 'SCR' || (p_partkey % 40) END AS button_script, CASE WHEN p_partkey % 10 = 1 THEN 'LAY' || (p_partkey % 40) END AS button_layout, CASE WHEN p_partkey % 10 = 2 THEN 'TO' || (p_partkey % 25) END AS button_to, CASE WHEN p_partkey % 10 = 3 THEN 'FLD' || (p_partkey % 40) END AS button_field, CASE WHEN p_partkey % 20 = 4 THEN 'RecordNumber' END AS symbol, {_F % 'p_size'} FROM part",
+    "layout_objects": f"SELECT 'OBJ' || p_partkey AS uuid, 'LAY' || (p_partkey % 90) AS layout, CASE WHEN p_partkey % 3 = 0 THEN 'OBJ' || (p_partkey - 1) END AS parent, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS nesting, CASE WHEN p_partkey % 8 = 0 THEN 'Portal' ELSE 'Field' END AS type, CASE WHEN p_partkey % 4 <> 0 THEN 'FLD' || (p_partkey % 300) END AS field, CASE WHEN p_partkey % 6 = 0 THEN 'FLD' || (p_partkey % 11) END AS label_field, CASE WHEN p_partkey % 5 = 0 THEN 'VL' || (p_partkey % 12) END AS value_list, CASE WHEN p_partkey % 16 = 0 THEN 'VL' || (p_partkey % 7) END AS sort_list, 'TO' || (p_partkey % 25) AS portal_to, CASE WHEN p_partkey % 10 = 0 THEN 'SCR' || (p_partkey % 40) END AS button_script, CASE WHEN p_partkey % 10 = 1 THEN 'LAY' || (p_partkey % 40) END AS button_layout, CASE WHEN p_partkey % 10 = 2 THEN 'TO' || (p_partkey % 25) END AS button_to, CASE WHEN p_partkey % 10 = 3 THEN 'FLD' || (p_partkey % 40) END AS button_field, CASE WHEN p_partkey % 20 = 3 THEN 'sets_field' ELSE 'references_field' END AS button_role, CASE WHEN p_partkey % 20 = 4 THEN 'RecordNumber' END AS symbol, {_F % 'p_size'} FROM part",
     "group_members": f"SELECT 'OBJ' || p_partkey AS uuid, CASE WHEN p_partkey % 3 = 0 THEN 'OBJ' || (p_partkey - 1) END AS grouped_in, {_F % 'p_size'} FROM part",
-    "steps": f"SELECT 'ST' || o_orderkey AS uuid, 'SCR' || (o_custkey % 500) AS script, CASE WHEN o_orderkey % 9 = 0 THEN 'SCR' || (o_orderkey % 500) END AS called_script, CASE WHEN o_orderkey % 9 IN (1, 2, 3) THEN 'FLD' || (o_custkey % 200) END AS field, CASE o_orderkey % 7 WHEN 0 THEN 'sets_field' WHEN 1 THEN 'navigates_to_field' WHEN 2 THEN 'exports_from_field' WHEN 3 THEN 'imports_to_field' WHEN 4 THEN 'inputs_to_field' WHEN 5 THEN 'finds_in_field' ELSE 'references_field' END AS field_role, CASE WHEN o_orderkey % 9 = 4 THEN 'FLD' || (o_custkey % 99) END AS sort_field, CASE WHEN o_orderkey % 9 = 4 AND o_custkey % 2 = 0 THEN 'VL' || (o_custkey % 12) END AS sort_list, CASE WHEN o_orderkey % 9 = 5 THEN 'LAY' || (o_custkey % 90) END AS layout, CASE WHEN o_orderkey % 9 = 6 THEN 'TO' || (o_custkey % 25) END AS target_to, CASE WHEN o_orderkey % 9 = 7 THEN 'DS' || (o_custkey % 3) END AS data_source, CASE WHEN o_orderkey % 9 = 8 THEN 'MS' || (o_custkey % 2) END AS menu_set, o_orderstatus <> 'P' AS is_enabled, {_F % 'o_custkey'} FROM orders",
+    "steps": f"SELECT 'ST' || o_orderkey AS uuid, 'SCR' || (o_custkey % 500) AS script, CASE WHEN o_orderkey % 9 = 0 THEN 'SCR' || (o_orderkey % 500) END AS called_script, CASE o_custkey % 4 WHEN 0 THEN 'on_server' WHEN 1 THEN 'on_server_callback' END AS call_context, CASE WHEN o_orderkey % 9 IN (1, 2, 3) THEN 'FLD' || (o_custkey % 200) END AS field, CASE o_orderkey % 7 WHEN 0 THEN 'sets_field' WHEN 1 THEN 'navigates_to_field' WHEN 2 THEN 'exports_from_field' WHEN 3 THEN 'imports_to_field' WHEN 4 THEN 'inputs_to_field' WHEN 5 THEN 'finds_in_field' ELSE 'references_field' END AS field_role, CASE WHEN o_orderkey % 9 = 4 THEN 'FLD' || (o_custkey % 99) END AS sort_field, CASE WHEN o_orderkey % 9 = 4 AND o_custkey % 2 = 0 THEN 'VL' || (o_custkey % 12) END AS sort_list, CASE WHEN o_orderkey % 9 = 5 THEN 'LAY' || (o_custkey % 90) END AS layout, CASE WHEN o_orderkey % 9 = 6 THEN 'TO' || (o_custkey % 25) END AS target_to, CASE WHEN o_orderkey % 9 = 7 THEN 'DS' || (o_custkey % 3) END AS data_source, CASE WHEN o_orderkey % 9 = 8 THEN 'MS' || (o_custkey % 2) END AS menu_set, o_orderstatus <> 'P' AS is_enabled, {_F % 'o_custkey'} FROM orders",
     "menu_items": f"SELECT 'MI' || s_suppkey AS uuid, 'MN' || (s_suppkey % 9) AS menu, CASE WHEN s_suppkey % 4 = 0 THEN 'MN' || (s_suppkey % 5) END AS submenu, CASE WHEN s_suppkey % 4 = 1 THEN 'SCR' || (s_suppkey % 50) END AS script, {_F % 's_suppkey'} FROM supplier",
     "menu_sets": f"SELECT 'MS' || (n_nationkey % 2) AS uuid, 'MN' || (n_nationkey % 9) AS menu, {_F % 'n_regionkey'} FROM nation",
     "value_lists": f"SELECT 'VL' || n_nationkey AS uuid, CASE WHEN n_regionkey < 3 THEN 'FLD' || (n_nationkey * 2) END AS primary_field, CASE WHEN n_regionkey = 0 THEN 'FLD' || (n_nationkey * 3) END AS secondary_field, CASE WHEN n_regionkey < 3 THEN 'TO' || n_nationkey END AS source_to, CASE WHEN n_regionkey = 2 THEN 'TO' || ((n_nationkey + 3) % 25) END AS start_to, CASE WHEN n_regionkey = 3 THEN 'VL' || ((n_nationkey + 1) % 25) END AS external_list, CASE WHEN n_regionkey = 3 THEN 'DS' || (n_nationkey % 3) END AS external_source, {_F % 'n_nationkey'} FROM nation",
@@ -188,7 +188,7 @@ RELATIONS = {
     "restrictions": f"SELECT 'PS' || (p_size % 6) AS privilege_set, CASE p_partkey % 4 WHEN 0 THEN 'Layout' WHEN 1 THEN 'ValueList' WHEN 2 THEN 'Script' ELSE 'Field' END AS target_type, CASE p_partkey % 4 WHEN 0 THEN 'LAY' || (p_partkey % 90) WHEN 1 THEN 'VL' || (p_partkey % 25) WHEN 2 THEN 'SCR' || (p_partkey % 60) ELSE 'FLD' || p_partkey END AS target, CASE WHEN p_size > 25 THEN 'none' ELSE 'view' END AS access, {_F % 'p_size'} FROM part",
     "file_options": f"SELECT 'LAY' || (n_nationkey + 1) AS default_layout, CASE WHEN n_nationkey % 2 = 0 THEN 'ACC' || n_nationkey END AS login_account, {_F % 'n_nationkey'} FROM nation",
     "folders": f"SELECT 'SCR' || c_custkey AS uuid, CASE WHEN c_custkey % 10 = 0 THEN 'ScriptFolder' ELSE 'Script' END AS item_type, 'ScriptFolder' AS folder_type, 'SCR' || (c_custkey - c_custkey % 10) AS folder, {_F % 'c_nationkey'} FROM customer",
-    "calc_refs": f"SELECT CASE l_suppkey % 7 WHEN 0 THEN 'CustomFunction' WHEN 1 THEN 'Script' WHEN 2 THEN 'LayoutObject' WHEN 3 THEN 'PrivilegeSet' WHEN 4 THEN 'CustomMenuItem' WHEN 5 THEN 'ScriptTrigger' ELSE 'Field' END AS owner_type, 'OWN' || (l_partkey % 1000) AS owner, CASE l_linenumber WHEN 1 THEN 'FieldRef' WHEN 2 THEN 'CustomFunctionRef' WHEN 3 THEN 'FunctionRef' WHEN 4 THEN 'PluginFunctionRef' ELSE 'NoRef' END AS ref_type, 'X' || (l_suppkey % 40) AS target, CASE WHEN l_quantity < 5 THEN 'SCR' || (l_suppkey % 30) END AS run_script, CASE WHEN l_returnflag = 'A' THEN 'auto_enter' WHEN l_returnflag = 'R' THEN 'validation' ELSE 'field_calculation' END AS subrole, 'CALC' || (l_partkey % 300) AS calculation, {_F % 'l_suppkey'} FROM lineitem",
+    "calc_refs": f"SELECT CASE l_suppkey % 7 WHEN 0 THEN 'CustomFunction' WHEN 1 THEN 'Script' WHEN 2 THEN 'LayoutObject' WHEN 3 THEN 'PrivilegeSet' WHEN 4 THEN 'CustomMenuItem' WHEN 5 THEN 'ScriptTrigger' ELSE 'Field' END AS owner_type, 'OWN' || (l_partkey % 1000) AS owner, CASE l_linenumber WHEN 1 THEN 'FieldRef' WHEN 2 THEN 'CustomFunctionRef' WHEN 3 THEN 'FunctionRef' WHEN 4 THEN 'PluginFunctionRef' ELSE 'NoRef' END AS ref_type, 'X' || (l_suppkey % 40) AS target, CASE WHEN l_quantity < 5 THEN 'SCR' || (l_suppkey % 30) END AS run_script, CASE WHEN l_returnflag = 'A' THEN 'auto_enter' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 25 THEN 'validation_message' WHEN l_returnflag = 'R' THEN 'validation' ELSE 'field_calculation' END AS subrole, 'CALC' || (l_partkey % 300) AS calculation, {_F % 'l_suppkey'} FROM lineitem",
     "variable_uses": f"SELECT CASE o_custkey % 5 WHEN 0 THEN 'Script' WHEN 1 THEN 'Field' WHEN 2 THEN 'CustomFunction' WHEN 3 THEN 'LayoutObject' ELSE 'PrivilegeSet' END AS owner_type, 'OWN' || (o_custkey % 300) AS owner, CASE o_orderstatus WHEN 'F' THEN 'set' WHEN 'O' THEN 'read' ELSE 'merge' END AS usage, '$v' || (o_orderkey % 50) AS variable, {_F % 'o_custkey'} FROM orders",
 }
 #: Queries over parts of the catalog: relations of each.

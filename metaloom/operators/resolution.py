@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.exports import _plain
+
 
 def healed_uuid(catalog: str, file: str | Column, uuid: str | Column, discriminator: str | Column) -> Column:
     """The identity that a twin gets in place of its own; nulls count as empty."""
@@ -42,7 +44,7 @@ def references(df: DataFrame, body: str) -> DataFrame:
     """References within a column of XML, one row each in order: all columns of df but the body, ref_index, ref_type, ref_id, ref_name, ref_uuid."""
     found = df.select("*", F.posexplode(F.expr(rf"regexp_extract_all(`{body}`, '<\\w+Reference\\s[^>]*>', 0)")).alias("_at", "_tag")).drop(body)
     value = lambda name: F.nullif(F.regexp_extract("_tag", rf'\s{name}="([^"]*)"', 1), F.lit(""))
-    return found.select("*", (F.col("_at") + 1).cast("long").alias("ref_index"), F.regexp_extract("_tag", r"<(\w+)Reference", 1).alias("ref_type"), value("id").try_cast("long").alias("ref_id"), value("name").alias("ref_name"), value("UUID").alias("ref_uuid")).drop("_at", "_tag")
+    return found.select("*", (F.col("_at") + 1).cast("long").alias("ref_index"), F.regexp_extract("_tag", r"<(\w+)Reference", 1).alias("ref_type"), value("id").try_cast("long").alias("ref_id"), _plain(value("name")).alias("ref_name"), value("UUID").alias("ref_uuid")).drop("_at", "_tag")
 
 
 def representatives(chunks: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ SCANS = {
     "layouts": Scan("Layout", _HEAD + f", _width BIGINT, TableOccurrenceReference {_REF}, LayoutThemeReference {_REF}, MenuSet STRUCT<CustomMenuSetReference: {_REF}>, Options STRUCT<_VALUE: STRING, _hidden: STRING>",
         _NAMED | _folder() | {"width": "_width", "is_hidden": "coalesce(lower(Options._hidden) = 'true', false)", "options": "try_cast(Options._VALUE AS BIGINT)"} | _ref("TableOccurrenceReference", "context") | _ref("LayoutThemeReference", "theme") | {k: f"CASE WHEN MenuSet.CustomMenuSetReference._id <> 0 THEN {v} END" for k, v in _ref("MenuSet.CustomMenuSetReference", "menu_set").items()}, "_id IS NOT NULL AND UUID IS NOT NULL"),
     "layout_parts": Scan("Layout", f"_id BIGINT, _name STRING, UUID {_STAMP}, PartsList STRUCT<Part: ARRAY<STRUCT<_type: STRING, _kind: BIGINT, Definition: STRUCT<_absolute: DOUBLE, _size: DOUBLE, FieldReference: {_REF}>>>>",
-        {"layout_id": "_id", "layout_name": "_name", "layout_uuid": "trim(UUID._VALUE)", "part_seq": "at", "part_type": "x._type", "part_top": "x.Definition._absolute", "part_size": "x.Definition._size"} | _ref("x.Definition.FieldReference", "break"), unfold="PartsList.Part", stamp=None, keys=("layout_id", "part_seq")),
+        {"layout_id": "_id", "layout_name": "_name", "layout_uuid": "trim(UUID._VALUE)", "part_seq": "at", "part_type": "x._type", "part_kind": "x._kind", "part_top": "x.Definition._absolute", "part_size": "x.Definition._size"} | _ref("x.Definition.FieldReference", "break"), unfold="PartsList.Part", stamp=None, keys=("layout_id", "part_seq")),
     "table_view_columns": Scan("Layout", f"_id BIGINT, _name STRING, UUID {_STAMP}, TableView STRUCT<ObjectList: STRUCT<TableViewLayoutObject: ARRAY<STRUCT<_hidden: BOOLEAN, _id: BIGINT, _name: STRING, _width: BIGINT, FieldReference: {_FIELD}>>>>",
         {"layout_id": "_id", "layout_uuid": "trim(UUID._VALUE)", "place": "at", "id": "x._id", "name": "x._name", "is_hidden": "coalesce(x._hidden, false)", "width": "x._width"} | _ref("x.FieldReference", "field") | _ref("x.FieldReference.TableOccurrenceReference", "to"), "_id IS NOT NULL", "TableView.ObjectList.TableViewLayoutObject", None, ("layout_id", "place")),
     "accounts": Scan("Account", f"_id BIGINT, _kind BIGINT, _type STRING, _enable BOOLEAN, UUID {_STAMP}, Description STRING, Authentication STRUCT<AccountName: STRING>, PrivilegeSetReference {_REF}", {"id": "_id", "kind": "_kind", "type": "_type", "is_enabled": "coalesce(_enable, true)", "description": "Description", "name": "Authentication.AccountName"} | _ref("PrivilegeSetReference", "privilege_set"), "_id IS NOT NULL"),

@@ -95,12 +95,31 @@ def fields(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", "base_table", "base_table_uuid", *[F.col(f"f.{c}").alias(k) for k, c in names.items()], *[F.nullif(F.expr(v), F.lit("")).alias(k) for k, v in refs.items()], *_stamps("f.UUID"))
 
 
+def _elements(spark: SparkSession, path: str, tag: str, encoding: str = "UTF-8") -> DataFrame:
+    """Elements of one name as raw XML from their opening tag on, without the closing one; elements of that name mustn't be nested.
+
+    Spark's XML source gives inner XML with its character references resolved, which is no XML any more; files are cut as text instead.
+    """
+    pieces = spark.read.option("lineSep", f"</{tag}>").option("encoding", encoding).text(path).select(_stem(F.col("_metadata.file_name")).alias("file_name"), "value")
+    return pieces.select("file_name", F.regexp_replace("value", rf"(?s)^.*(?=<{tag}[\s>])", "").alias("xml")).where(F.col("xml").rlike(rf"^<{tag}[\s>]"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _plain(F.nullif(F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1), F.lit("")))
+
+
 def steps(spark: SparkSession, path: str) -> DataFrame:
-    """Script steps; `body` is a step's inner XML. A step's id is that of its type."""
-    item = f"STRUCT<_index: BIGINT, _id: BIGINT, _name: STRING, _enable: BOOLEAN, UUID: {_STAMP}, ParameterValues: STRING, ScriptReference: STRING>"
-    df = records(spark, path, "Script", f"ScriptReference {_REF}, ObjectList STRUCT<Step: ARRAY<{item}>>")
-    rows = df.where("ScriptReference._UUID is not null").select("file_name", *[F.col(f"ScriptReference._{c}").alias(f"script_{c.lower()}") for c in ("id", "name", "UUID")], F.explode("ObjectList.Step").alias("s"))
-    return rows.select("file_name", "script_id", "script_name", "script_uuid", F.col("s._index").alias("step_index"), F.col("s._id").alias("step_id"), F.col("s._name").alias("step_name"), F.coalesce("s._enable", F.lit(True)).alias("is_enabled"), F.col("s.ParameterValues").alias("body"), *_stamps("s.UUID"))
+    """Script steps; `body` is a step's XML as it stands. A step's id is that of its type."""
+    scripts = _elements(spark, path, "Script").where(F.contains("xml", F.lit("<Step ")))
+    head = F.regexp_extract("xml", r"<ScriptReference\s[^>]*>", 0)
+    rows = scripts.select("file_name", head.alias("_head"), F.explode(F.expr(r"regexp_extract_all(xml, '(?s)<Step\\s[^>]*/>|<Step\\s.*?</Step>', 0)")).alias("body"))
+    tag, stamp = F.regexp_extract("body", r"<Step\s[^>]*>", 0), F.regexp_extract("body", r"<UUID\s[^>]*>", 0)
+    return rows.select(
+        "file_name", _attribute(F.col("_head"), "id").try_cast("long").alias("script_id"), _attribute(F.col("_head"), "name").alias("script_name"), _attribute(F.col("_head"), "UUID").alias("script_uuid"),
+        _attribute(tag, "index").try_cast("long").alias("step_index"), _attribute(tag, "id").try_cast("long").alias("step_id"), _attribute(tag, "name").alias("step_name"), F.coalesce(F.lower(_attribute(tag, "enable")) != "false", F.lit(True)).alias("is_enabled"), "body",
+        F.nullif(F.trim(F.regexp_extract("body", r"<UUID(?:\s[^>]*)?>([^<]*)</UUID>", 1)), F.lit("")).alias("uuid"), _attribute(stamp, "accountName").alias("account"), _attribute(stamp, "userName").alias("user_name"),
+        _attribute(stamp, "modifications").try_cast("long").alias("modifications"), _attribute(stamp, "timestamp").try_cast("timestamp_ntz").alias("modified_at"),
+    ).where("script_uuid is not null")
 
 
 _OBJECT_REF = "struct<ref_type: string, ref_id: bigint, ref_name: string, ref_uuid: string, to_uuid: string, step_id: bigint, action: string>"
@@ -116,17 +135,17 @@ def layout_objects(spark: SparkSession, path: str) -> DataFrame:
     nesting is 0 for objects that stand in a part; z_order counts a layout's objects in document order from 1; text is an object's own
     text, and refs what it refers to itself, without the objects in it (kinds as in `_object_refs`).
     """
-    df = records(spark, path, "Layout", f"_id BIGINT, _name STRING, UUID {_STAMP}, PartsList STRING")
-    layouts = df.where("PartsList is not null").select("file_name", F.col("_id").alias("layout_id"), F.col("_name").alias("layout_name"), F.trim("UUID._VALUE").alias("layout_uuid"), "PartsList")
+    layouts = _elements(spark, path, "Layout").where(F.contains("xml", F.lit("<PartsList"))).select("file_name", F.regexp_replace("xml", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "").alias("xml"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = re.findall(r"(\w+) (?:string|long|double|array)", _BOX)
         for layouts in batches:
             out = []
             for row in layouts.itertuples(index=False):
-                body = row.PartsList if row.PartsList.lstrip().startswith("<PartsList") else f"<PartsList>{row.PartsList}</PartsList>"
+                layout = ET.fromstring(f"{row.xml}</Layout>")
+                head = (row.file_name, _number(layout.get("id")), layout.get("name"), (layout.findtext("UUID") or "").strip() or None)
                 order = 0
-                waiting = [(o, p.get("type"), None, None, 0) for p in ET.fromstring(body).findall("Part") for o in p.findall("ObjectList/LayoutObject")][::-1]
+                waiting = [(o, p.get("type"), None, None, 0) for p in layout.findall("PartsList/Part") for o in p.findall("ObjectList/LayoutObject")][::-1]
                 while waiting:
                     o, part, parent, parent_uuid, depth = waiting.pop()
                     order += 1
@@ -134,7 +153,7 @@ def layout_objects(spark: SparkSession, path: str) -> DataFrame:
                     box = o.find("Bounds")
                     sides = [float(box.get(s)) if box is not None and box.get(s) else None for s in ("left", "top", "right", "bottom")]
                     text = "".join(e.text or "" for e, _ in _own(o) if e.tag == "Data") or None
-                    out.append((*row[:4], part, number, parent, parent_uuid, o.get("type"), o.get("name"), o.get("hash"), uuid, depth, order, *sides, text, _object_refs(o)))
+                    out.append((*head, part, number, parent, parent_uuid, o.get("type"), o.get("name"), o.get("hash"), uuid, depth, order, *sides, text, _object_refs(o)))
                     waiting += [(x, part, number, uuid, depth + 1) for x in _children(o)][::-1]
             frame = pd.DataFrame(out, columns=columns)
             yield frame.astype({c: "Int64" for c in ("layout_id", "object_id", "parent_id", "nesting", "z_order")})
