@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import catalogs, exports
+from ..sources import catalogs, exports, samples
 from . import edges, resolution
 
 # What a step of a type does with the fields it names; other types just refer to them.
@@ -41,7 +41,7 @@ def field_role(step_id: Column) -> Column:
 def _tags(body: Column) -> Column:
     """Reference tags of a column of raw XML in order: kind, id, name, uuid; empty values are null."""
     value = lambda t, a: F.nullif(F.regexp_extract(t, rf'\s{a}="([^"]*)"', 1), F.lit(""))
-    found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"<\w+Reference\s[^>]*>"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(rf"<\w+Reference\s{exports.TAG}>"), F.lit(0))
     return F.transform(found, lambda t: F.struct(F.regexp_extract(t, r"<(\w+)Reference", 1).alias("kind"), value(t, "id").try_cast("long").alias("id"), exports._plain(value(t, "name")).alias("name"), value(t, "UUID").alias("uuid")))
 
 
@@ -263,3 +263,91 @@ def object_catalog(spark: SparkSession, path: str) -> DataFrame:
         of(builtins, "BuiltinFunction", "name", "name", "NULL", "ref_type = 'FunctionRef'"), of(builtins, "PluginFunction", "name", "name", "NULL", "ref_type = 'PluginFunctionRef'"),
         of(refs.select("file_name", "calculation", "subrole").distinct(), "Calculation", "subrole", "calculation", "NULL"), *folders,
     ])
+
+
+#: Relations that the sample exports hold, and types of their objects without the file's name in their key.
+SAMPLED = ("relationships", "fields", "occurrences", "layouts", "layout_objects", "steps", "triggers", "calc_refs", "variable_uses")
+SAMPLED_TYPES = ("BaseTable", "TableOccurrence", "Relationship", "Field", "Script", "ScriptStep", "Layout", "LayoutObject", "Variable", "ScriptStepType", "BuiltinFunction")
+
+
+def exports_links(spark: SparkSession, d: str) -> DataFrame:
+    """The star schema written as exports, scanned, and linked by the edge blocks; keys with a file's name in them are left out, as files are named by Spark."""
+    links = export_links(spark, samples.write_exports(spark, d), SAMPLED)
+    return links.where("source_type <> 'ScriptTrigger' and link_role <> 'has_calculation'").drop("source_file", "link_kind").distinct()
+
+
+def exports_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The star schema written as exports, and their catalog of objects, but for keys with a file's name in them."""
+    found = object_catalog(spark, samples.write_exports(spark, d)).where(F.col("object_type").isin(*SAMPLED_TYPES))
+    return found.select("object_uuid", "object_type", "object_name", "object_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (exports_links, exports_catalog)}
+
+# What the sample exports must give, stated from the tables: block, source, target, role and subrole, rows.
+_ON = "orders WHERE o_orderstatus <> 'P' AND o_orderkey % 10 = "
+_EXPECTED = [
+    ("relationship_left_table", "Relationship", "'REL' || c_custkey", "TableOccurrence", "'TO' || c_nationkey", "left_table", None, "customer"),
+    ("relationship_right_table", "Relationship", "'REL' || c_custkey", "TableOccurrence", "'TO' || ((c_nationkey + c_custkey) % 25)", "right_table", None, "customer"),
+    ("relationship_left_field", "Relationship", "'REL' || c_custkey", "Field", "'FLD' || (c_custkey % 200)", "left_field", None, "customer"),
+    ("relationship_left_field", "Relationship", "'REL' || c_custkey", "Field", "'FLD' || (c_custkey % 90)", "left_field", None, "customer WHERE c_custkey % 4 = 0"),
+    ("relationship_right_field", "Relationship", "'REL' || c_custkey", "Field", "'FLD' || ((c_custkey * 7) % 200)", "right_field", None, "customer"),
+    ("relationship_right_field", "Relationship", "'REL' || c_custkey", "Field", "'FLD' || ((c_custkey * 7) % 90)", "right_field", None, "customer WHERE c_custkey % 4 = 0"),
+    ("relationship_sort_left", "Relationship", "'REL' || c_custkey", "Field", "'FLD' || (c_custkey % 31)", "sort_field", "left", "customer WHERE c_custkey % 5 = 0"),
+    ("relationship_sort_list_left", "Relationship", "'REL' || c_custkey", "ValueList", "'VL' || (c_custkey % 10)", "sorts_by_valuelist", "left", "customer WHERE c_custkey % 10 = 0"),
+    ("field_table", "Field", "'FLD' || p_partkey", "BaseTable", "'BT' || (p_size % 25)", "parent_table", None, "part"),
+    ("field_lookup_source", "Field", "'FLD' || p_partkey", "Field", "'FLD' || (p_partkey + 1)", "lookup_source", None, "part WHERE p_partkey % 7 = 0"),
+    ("field_lookup_relationship", "Field", "'FLD' || p_partkey", "TableOccurrence", "'TO' || (p_partkey % 25)", "lookup_relationship", None, "part WHERE p_partkey % 7 = 0"),
+    ("field_summarizes", "Field", "'FLD' || p_partkey", "Field", "'FLD' || (p_partkey % 50)", "summarizes_field", None, "part WHERE p_partkey % 5 = 0"),
+    ("field_validation_list", "Field", "'FLD' || p_partkey", "ValueList", "'VL' || (p_partkey % 12)", "uses_valuelist", "validation", "part WHERE p_partkey % 9 = 0"),
+    ("calculation_field", "Field", "'FLD' || p_partkey", "Field", "'FLD' || (p_partkey + 2)", "reads_field", "field_calculation", "part WHERE p_partkey % 3 = 0"),
+    ("calculation_builtin", "Field", "'FLD' || p_partkey", "BuiltinFunction", "'Abs'", "calls_function", "field_calculation", "part WHERE p_partkey % 3 = 0"),
+    ("field_reads", "Field", "'FLD' || p_partkey", "Variable", "md5('superglobal::__global::$$$v' || (p_partkey % 10))", "reads_variable", None, "part WHERE p_partkey % 3 = 0"),
+    ("occurrence_table", "TableOccurrence", "'TO' || n_nationkey", "BaseTable", "'BT' || n_nationkey", "base_table", None, "nation"),
+    ("occurrence_source", "TableOccurrence", "'TO' || n_nationkey", "ExternalDataSource", "'DS' || (n_nationkey % 3)", "data_source", None, "nation WHERE n_regionkey = 1"),
+    ("step_script", "ScriptStep", "'ST' || o_orderkey", "Script", "'SCR' || o_orderkey", "parent_script", None, "orders WHERE o_orderstatus <> 'P'"),
+    ("script_calls", "Script", "'SCR' || o_orderkey", "Script", "'SCR' || o_custkey", "calls_script", None, _ON + "0"),
+    ("script_calls", "Script", "'SCR' || o_orderkey", "Script", "'SCR' || o_custkey", "calls_script", "on_server", _ON + "1"),
+    ("script_field", "Script", "'SCR' || o_orderkey", "Field", "'FLD' || (o_custkey % 200)", "sets_field", None, _ON + "2"),
+    ("script_layout", "Script", "'SCR' || o_orderkey", "Layout", "'LAY' || (o_custkey % 90)", "navigates_to_layout", None, _ON + "3"),
+    ("script_occurrence", "Script", "'SCR' || o_orderkey", "TableOccurrence", "'TO' || (o_custkey % 25)", "navigates_to_to", None, _ON + "3"),
+    ("script_field", "Script", "'SCR' || o_orderkey", "Field", "'FLD' || (o_custkey % 200)", "sorts_by_field", None, _ON + "4"),
+    ("script_sort_list", "Script", "'SCR' || o_orderkey", "ValueList", "'VL' || (o_custkey % 12)", "sorts_by_valuelist", None, _ON + "4"),
+    ("script_menu_set", "Script", "'SCR' || o_orderkey", "CustomMenuSet", "'MS' || (o_custkey % 2)", "installs_menuset", None, _ON + "5"),
+    ("script_source", "Script", "'SCR' || o_orderkey", "ExternalDataSource", "'DS' || (o_custkey % 3)", "data_source", None, _ON + "6 AND o_custkey % 3 <> 0"),
+    ("script_sets", "Script", "'SCR' || o_orderkey", "Variable", "md5('superglobal::__global::$$$v' || (o_custkey % 10))", "sets_variable", None, _ON + "7"),
+    ("script_field", "Script", "'SCR' || o_orderkey", "Field", "'FLD' || (o_custkey % 200)", "finds_in_field", None, _ON + "8"),
+    ("script_field", "Script", "'SCR' || o_orderkey", "Field", "'FLD' || (o_custkey % 200)", "references_field", None, _ON + "9"),
+    ("layout_context", "Layout", "'LAY' || s_suppkey", "TableOccurrence", "'TO' || s_nationkey", "context_table", None, "supplier"),
+    *[("object_layout", "LayoutObject", f"'{o}' || s_suppkey", "Layout", "'LAY' || s_suppkey", "parent_layout", None, "supplier") for o in ("POR", "BUT", "BOX")],
+    ("object_parent", "LayoutObject", "'BUT' || s_suppkey", "LayoutObject", "'POR' || s_suppkey", "parent_object", None, "supplier"),
+    ("object_field", "LayoutObject", "'BOX' || s_suppkey", "Field", "'FLD' || (s_suppkey % 300)", "displays_field", None, "supplier"),
+    ("layout_fields", "Layout", "'LAY' || s_suppkey", "Field", "'FLD' || (s_suppkey % 300)", "displays_field", "aggregated", "supplier"),
+    ("object_value_list", "LayoutObject", "'BOX' || s_suppkey", "ValueList", "'VL' || (s_suppkey % 7)", "uses_valuelist", None, "supplier"),
+    ("portal_context", "LayoutObject", "'POR' || s_suppkey", "TableOccurrence", "'TO' || (s_suppkey % 25)", "portal_context", None, "supplier"),
+    ("button_script", "LayoutObject", "'BUT' || s_suppkey", "Script", "'SCR' || (s_suppkey + 1)", "triggers_script", "button", "supplier"),
+    ("button_field", "LayoutObject", "'BUT' || s_suppkey", "Field", "'FLD' || (s_suppkey % 40)", "sets_field", "button", "supplier"),
+    ("owner_script", "LayoutObject", "'BUT' || s_suppkey", "Script", "'SCR' || s_suppkey", "triggers_script", "OnEnter", "supplier"),
+]
+
+
+def _expected_sql() -> str:
+    one = lambda block, st, s, tt, t, role, sub, rows: f"SELECT '{block}' AS block, {s} AS source_uuid, '{st}' AS source_type, {t} AS target_uuid, '{tt}' AS target_type, '{role}' AS link_role, " + (f"'{sub}'" if sub else "CAST(NULL AS VARCHAR)") + f" AS link_subrole FROM {rows}"
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(one(*r) for r in _EXPECTED) + ")"
+
+
+_ODD = samples.ODD
+ORACLE_SQL = {
+    "exports_links": _expected_sql(),
+    "exports_catalog": f"""SELECT 'BT' || n_nationkey AS object_uuid, 'BaseTable' AS object_type, n_name AS object_name, CAST(n_nationkey AS BIGINT) AS object_id FROM nation
+UNION ALL SELECT 'TO' || n_nationkey, 'TableOccurrence', {_ODD}, n_nationkey FROM nation
+UNION ALL SELECT 'REL' || c_custkey, 'Relationship', 'n → n', c_custkey FROM customer
+UNION ALL SELECT 'FLD' || p_partkey, 'Field', 'T' || (p_size % 25) || '::' || p_name, p_partkey FROM part
+UNION ALL SELECT 'SCR' || o_orderkey, 'Script', 'Script', o_orderkey FROM orders
+UNION ALL SELECT 'ST' || o_orderkey, 'ScriptStep', {_ODD} || ' [0] Step', [1, 164, 76, 74, 39, 142, 138, 141, 28, 999][o_orderkey % 10 + 1] FROM orders
+UNION ALL SELECT 'LAY' || s_suppkey, 'Layout', s_name, s_suppkey FROM supplier
+UNION ALL SELECT 'POR' || s_suppkey, 'LayoutObject', 'p', 1 FROM supplier UNION ALL SELECT 'BUT' || s_suppkey, 'LayoutObject', {_ODD}, 2 FROM supplier UNION ALL SELECT 'BOX' || s_suppkey, 'LayoutObject', 'f', 3 FROM supplier
+UNION ALL SELECT DISTINCT md5('superglobal::__global::$$$v' || v), 'Variable', '$$$v' || v, NULL FROM (SELECT p_partkey % 10 AS v FROM part WHERE p_partkey % 3 = 0 UNION SELECT o_custkey % 10 FROM {_ON}7)
+UNION ALL SELECT DISTINCT md5('ScriptStepType::Step'), 'ScriptStepType', 'Step', NULL FROM orders
+UNION ALL SELECT DISTINCT 'Abs', 'BuiltinFunction', 'Abs', NULL FROM part WHERE p_partkey % 3 = 0""",
+}

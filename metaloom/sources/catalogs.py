@@ -106,9 +106,9 @@ def scan(spark: SparkSession, path: str, name: str, encoding: str = "UTF-8") ->
 
 def step_texts(spark: SparkSession, path: str) -> DataFrame:
     """Plain texts of script steps: step_uuid (`hash:` and the hash for steps without one), step_hash, step_text."""
-    pieces = spark.read.option("lineSep", "</_").text(path).select(exports._stem(F.col("_metadata.file_name")).alias("file_name"), "value")
-    tag = F.regexp_extract("value", r"(?s).*(<_[^\s>]*\s[^>]*datatype=\"StepText\"[^>]*)>[^<]*$", 1)
-    found = pieces.select("file_name", tag.alias("tag"), F.regexp_extract("value", r"(?s).*>([^<]*)$", 1).alias("text")).where("tag <> ''")
+    pieces = spark.read.option("lineSep", "</_").text(path).select(exports._stem(F.col("_metadata.file_name")).alias("file_name"), "value").where(F.contains("value", F.lit("StepText")))
+    tag = F.regexp_extract("value", r"(?s)^.*(<_[^\s>]*\s[^>]*datatype=\"StepText\"[^>]*)>[^<]*$", 1)
+    found = pieces.select("file_name", tag.alias("tag"), F.regexp_extract("value", r"(?s)^.*>([^<]*)$", 1).alias("text")).where("tag <> ''")
     own, digest = F.regexp_extract("tag", "^<_([0-9A-Fa-f-]+)", 1), F.regexp_extract("tag", r'\shash="([^"]*)"', 1)
     return found.select("file_name", F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("hash:"), digest)).alias("step_uuid"), digest.alias("step_hash"), exports._plain(F.col("text")).alias("step_text"))
 

@@ -104,6 +104,10 @@ def _elements(spark: SparkSession, path: str, tag: str, encoding: str = "UTF-8")
     return pieces.select("file_name", F.regexp_replace("value", rf"(?s)^.*(?=<{tag}[\s>])", "").alias("xml")).where(F.col("xml").rlike(rf"^<{tag}[\s>]"))
 
 
+#: What stands in a tag behind its name: quoted values may hold the sign that ends a tag.
+TAG = r"""(?:[^>"]++|"[^"]*+")*+"""
+
+
 def _attribute(tag: Column, name: str) -> Column:
     return _plain(F.nullif(F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1), F.lit("")))
 
@@ -111,13 +115,13 @@ def _attribute(tag: Column, name: str) -> Column:
 def steps(spark: SparkSession, path: str) -> DataFrame:
     """Script steps; `body` is a step's XML as it stands. A step's id is that of its type."""
     scripts = _elements(spark, path, "Script").where(F.contains("xml", F.lit("<Step ")))
-    head = F.regexp_extract("xml", r"<ScriptReference\s[^>]*>", 0)
-    rows = scripts.select("file_name", head.alias("_head"), F.explode(F.expr(r"regexp_extract_all(xml, '(?s)<Step\\s[^>]*/>|<Step\\s.*?</Step>', 0)")).alias("body"))
-    tag, stamp = F.regexp_extract("body", r"<Step\s[^>]*>", 0), F.regexp_extract("body", r"<UUID\s[^>]*>", 0)
+    head = F.regexp_extract("xml", rf"<ScriptReference\s{TAG}>", 0)
+    rows = scripts.select("file_name", head.alias("_head"), F.explode(F.regexp_extract_all("xml", F.lit(r"""(?s)<Step\s(?:[^>"/]++|/(?!>)|"[^"]*+")*+/>|<Step\s.*?</Step>"""), F.lit(0))).alias("body"))
+    tag, stamp = F.regexp_extract("body", rf"<Step\s{TAG}>", 0), F.regexp_extract("body", rf"<UUID\s{TAG}>", 0)
     return rows.select(
         "file_name", _attribute(F.col("_head"), "id").try_cast("long").alias("script_id"), _attribute(F.col("_head"), "name").alias("script_name"), _attribute(F.col("_head"), "UUID").alias("script_uuid"),
         _attribute(tag, "index").try_cast("long").alias("step_index"), _attribute(tag, "id").try_cast("long").alias("step_id"), _attribute(tag, "name").alias("step_name"), F.coalesce(F.lower(_attribute(tag, "enable")) != "false", F.lit(True)).alias("is_enabled"), "body",
-        F.nullif(F.trim(F.regexp_extract("body", r"<UUID(?:\s[^>]*)?>([^<]*)</UUID>", 1)), F.lit("")).alias("uuid"), _attribute(stamp, "accountName").alias("account"), _attribute(stamp, "userName").alias("user_name"),
+        F.nullif(F.trim(F.regexp_extract("body", rf"<UUID(?:\s{TAG})?>([^<]*)</UUID>", 1)), F.lit("")).alias("uuid"), _attribute(stamp, "accountName").alias("account"), _attribute(stamp, "userName").alias("user_name"),
         _attribute(stamp, "modifications").try_cast("long").alias("modifications"), _attribute(stamp, "timestamp").try_cast("timestamp_ntz").alias("modified_at"),
     ).where("script_uuid is not null")
 
@@ -242,9 +246,9 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     Elements are named after their calculation, so files are read as text cut at the end of each token list, which keeps it splittable.
     Content is text, or the inner XML of a reference.
     """
-    pieces = spark.read.option("lineSep", "</ChunkList>").text(path).select(_stem(F.col("_metadata.file_name")).alias("file_name"), "value")
-    head = F.regexp_extract("value", r"(?s).*(<_[^\s>]+[^>]*>)\s*<ChunkList[^>]*>", 1)
-    found = pieces.select("file_name", head.alias("head"), F.regexp_extract("value", r"(?s).*<ChunkList[^>]*>(.*)$", 1).alias("list")).where("head <> ''")
+    pieces = spark.read.option("lineSep", "</ChunkList>").text(path).select(_stem(F.col("_metadata.file_name")).alias("file_name"), "value").where(F.contains("value", F.lit("<ChunkList")))
+    head = F.regexp_extract("value", r"(?s)^.*(<_[^\s>]+[^>]*>)\s*<ChunkList[^>]*>", 1)
+    found = pieces.select("file_name", head.alias("head"), F.regexp_extract("value", r"(?s)^.*<ChunkList[^>]*>(.*)$", 1).alias("list")).where("head <> ''")
     every = found.select("file_name", F.regexp_extract("head", r"<(_[^\s>]+)", 1).alias("calc_uuid"), F.nullif(F.regexp_extract("head", r'\shash="([^"]*)"', 1), F.lit("")).alias("calc_hash"), F.posexplode(F.expr(r"regexp_extract_all(list, '(?s)<Chunk(?:\\s[^>]*)?(?:/>|>.*?</Chunk>)', 0)")).alias("at", "chunk"))
     inner = F.regexp_extract("chunk", r"(?s)^<Chunk[^>]*>(.*)</Chunk>$", 1)
     return every.select("file_name", "calc_uuid", "calc_hash", (F.col("at") + 1).cast("long").alias("chunk_index"), F.nullif(F.regexp_extract("chunk", r'^<Chunk\s[^>]*type="([^"]*)"', 1), F.lit("")).alias("chunk_type"), F.when(inner.startswith("<"), inner).otherwise(_plain(inner)).alias("chunk_content"))
