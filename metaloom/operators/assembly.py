@@ -146,7 +146,7 @@ def triggers(spark: SparkSession, path: str, objects: DataFrame | None = None) -
     return every.select(uuid.alias("uuid"), "*", F.lit(None).cast("string").alias("parameter_field"))
 
 
-def calculation_owners(spark: SparkSession, path: str, objects: DataFrame | None = None) -> DataFrame:
+def calculation_owners(spark: SparkSession, path: str, objects: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """What holds calculations: file_name, owner_type, owner, subrole, calc_hash; of fields by slot, scripts' steps, functions, record access and layout objects."""
     objects = exports.layout_objects(spark, path) if objects is None else objects
     slots = {"calculation_hash": "field_calculation", "auto_enter_hash": "auto_enter", "validation_hash": "validation", "validation_message_hash": "validation_message", "display_names_hash": "display_names"}
@@ -155,7 +155,7 @@ def calculation_owners(spark: SparkSession, path: str, objects: DataFrame | None
     functions = catalogs.scan(spark, path, "custom_function_calcs").select("file_name", F.lit("CustomFunction"), "function_uuid", F.lit("custom_function"), "calc_hash")
     access = catalogs.scan(spark, path, "record_access").select("file_name", F.lit("PrivilegeSet"), "privilege_set_uuid", F.lit("record_access"), "calc_hash")
     hashes = F.expr("""transform(filter(regexp_extract_all(coalesce(body, ''), '<DDRREF\\\\s[^>]*>', 0), t -> t not like '%kind="StepText"%'), t -> regexp_extract(t, 'hash="([^"]*)"', 1))""")
-    steps = exports.steps(spark, path).where("is_enabled").select("file_name", F.lit("Script"), "script_uuid", F.lit("step_parameter"), F.explode(hashes))
+    steps = (exports.steps(spark, path) if steps is None else steps).where("is_enabled").select("file_name", F.lit("Script"), "script_uuid", F.lit("step_parameter"), F.explode(hashes))
     boxes = objects.select("file_name", F.lit("LayoutObject"), "uuid", F.lit("layout_object"), F.explode("refs").alias("r")).where("r.ref_type = 'calculation'").select(*[F.col(c) for c in ("file_name", "LayoutObject", "uuid", "layout_object", "r.ref_name")])
     return reduce(DataFrame.union, [fields, functions, access, steps, boxes]).where("owner is not null and nullif(calc_hash, '') is not null").distinct()
 
@@ -187,8 +187,10 @@ def variable_uses(steps: DataFrame, refs: DataFrame) -> DataFrame:
 def relations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The relations that the edge blocks read, from the exports at path; folders, groups and symbols are not among them."""
     scan = lambda name, **columns: catalogs.scan(spark, path, name).select("file_name", *[F.expr(v).alias(k) for k, v in columns.items()])
-    steps, objects, occurrences, fields, layouts = exports.steps(spark, path), exports.layout_objects(spark, path), exports.occurrences(spark, path), exports.fields(spark, path), catalogs.scan(spark, path, "layouts")
-    refs = calc_refs(calculation_owners(spark, path, objects), exports.chunks(spark, path), catalogs.scan(spark, path, "custom_functions"))
+    path = catalogs.indexed(spark, path)
+    steps, objects = exports.kept(exports.steps(spark, path)), exports.kept(exports.layout_objects(spark, path))
+    occurrences, fields, layouts = exports.occurrences(spark, path), exports.fields(spark, path), catalogs.scan(spark, path, "layouts")
+    refs = calc_refs(calculation_owners(spark, path, objects, steps), exports.chunks(spark, path), catalogs.scan(spark, path, "custom_functions"))
     sets = catalogs.scan(spark, path, "menu_sets").select("file_name", "uuid", F.explode("menu_ids").alias("_id"))
     menus = catalogs.scan(spark, path, "menus").select("file_name", F.col("id").alias("_id"), F.col("uuid").alias("menu"))
     privileges = catalogs.scan(spark, path, "privilege_sets").select("file_name", F.col("name").alias("_set"), F.col("uuid").alias("privilege_set"))
@@ -241,7 +243,7 @@ def object_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     plain = "folder_type = 'False' and not is_separator"
     box = f"coalesce(nullif(name, ''), type || ' @ (' || coalesce({text('CAST(top AS BIGINT)')}, '0') || ',' || coalesce({text('CAST(left AS BIGINT)')}, '0') || ')')"
-    refs = calc_refs(calculation_owners(spark, path, objects), exports.chunks(spark, path), scan("custom_functions"))
+    refs = calc_refs(calculation_owners(spark, path, objects, steps), exports.chunks(spark, path), scan("custom_functions"))
     variables = variable_uses(steps, refs).where("scope <> 'let_local'").groupBy("variable", "name", "scope", "anchor").agg(F.min("file_name").alias("file_name"))
     kinds = steps.select(F.col("step_name").alias("name")).where("name <> ''").distinct().withColumn("file_name", F.lit(None).cast("string"))
     files = catalogs.root_attributes(spark, path).select("file_name")

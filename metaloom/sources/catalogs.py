@@ -6,6 +6,7 @@ those with an identity have uuid and its stamps (account, user_name, modificatio
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,10 +95,24 @@ SCANS = {
 }
 
 
+#: Elements that are rows of the typed scans in `exports`.
+_TYPED = ("ExternalDataSource", "BaseTable", "TableOccurrence", "Relationship", "FieldCatalog")
+
+
+def _inside(s: Scan) -> list[str]:
+    """Names of the elements that a scan unfolds, without which it has no row."""
+    return s.unfold.split(".") if s.unfold and re.fullmatch(r"[A-Za-z.]+", s.unfold) else []
+
+
+def indexed(spark: SparkSession, path: str) -> exports.Indexed:
+    """The exports at path, indexed for all scans."""
+    return exports.indexed(spark, path, {*_TYPED, *(n for s in SCANS.values() for n in (s.tag, *_inside(s)))})
+
+
 def scan(spark: SparkSession, path: str, name: str, encoding: str = "UTF-8") -> DataFrame:
     """The named relation of all exports at path."""
     s = SCANS[name]
-    rows = records(spark, path, s.tag, s.schema, encoding)
+    rows = records(spark, path, s.tag, s.schema, encoding, _inside(s))
     if s.unfold:
         rows = rows.select("*", F.posexplode(F.expr(s.unfold)).alias("at", "x")).withColumn("at", (F.col("at") + 1).cast("long"))
     stamps = exports._stamps(s.stamp) if s.stamp else []
@@ -106,7 +121,7 @@ def scan(spark: SparkSession, path: str, name: str, encoding: str = "UTF-8") ->
 
 def step_texts(spark: SparkSession, path: str) -> DataFrame:
     """Plain texts of script steps: step_uuid (`hash:` and the hash for steps without one), step_hash, step_text."""
-    pieces = spark.read.option("lineSep", "</_").text(path).select(exports._stem(F.col("_metadata.file_name")).alias("file_name"), "value").where(F.contains("value", F.lit("StepText")))
+    pieces = spark.read.option("lineSep", "</").text(path).select(exports._stem(F.col("_metadata.file_name")).alias("file_name"), "value").where(F.contains("value", F.lit("StepText")))
     tag = F.regexp_extract("value", r"(?s)^.*(<_[^\s>]*\s[^>]*datatype=\"StepText\"[^>]*)>[^<]*$", 1)
     found = pieces.select("file_name", tag.alias("tag"), F.regexp_extract("value", r"(?s)^.*>([^<]*)$", 1).alias("text")).where("tag <> ''")
     own, digest = F.regexp_extract("tag", "^<_([0-9A-Fa-f-]+)", 1), F.regexp_extract("tag", r'\shash="([^"]*)"', 1)

@@ -2,16 +2,23 @@
 
 `path` is a file, a folder or a glob of exports; `file_name` is the file's name without its ending. Records without what identifies them
 (references to a script, say, where the script itself is meant) are not rows. Optional elements and attributes that are absent are null.
+
+Many scans of one path are cheaper over `indexed(spark, path, names)`, which every scan takes for a path: each then opens only files that hold its
+elements, and what is cut out of the files as raw text is cut once.
 """
 
 from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _STAMP = "STRUCT<_VALUE: STRING, _accountName: STRING, _modifications: BIGINT, _timestamp: STRING, _userName: STRING>"
@@ -21,8 +28,19 @@ _SIDE = f"STRUCT<_cascadeCreate: BOOLEAN, _cascadeDelete: BOOLEAN, TableOccurren
 _HASHED = "STRUCT<Calculation: STRUCT<DDRREF: STRUCT<_VALUE: STRING, _hash: STRING>>, _enable: BOOLEAN>"
 
 
-def records(spark: SparkSession, path: str, tag: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """The elements of one name with the given fields (attributes begin with an underscore), and file_name."""
+class Indexed(str):
+    """A path of exports with the files that hold an element, by its name, and the raw elements (tag, file_name, xml) of the names in CUT."""
+
+    files: dict[str, list[str]]
+    elements: DataFrame
+
+
+def records(spark: SparkSession, path: str, tag: str, schema: str, encoding: str = "UTF-8", inside: Iterable[str] = ()) -> DataFrame:
+    """The elements of one name with the given fields (attributes begin with an underscore), and file_name; inside: names of elements without which there is no row."""
+    if isinstance(path, Indexed):
+        path = [f for f in path.files[tag] if all(f in path.files[n] for n in inside)]
+        if not path:
+            return spark.createDataFrame([], schema).withColumn("file_name", F.lit(None).cast("string"))
     df = spark.read.format("xml").option("rowTag", tag).option("encoding", encoding).schema(schema).load(path)
     return df.withColumn("file_name", _stem(F.col("_metadata.file_name")))
 
@@ -95,17 +113,146 @@ def fields(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", "base_table", "base_table_uuid", *[F.col(f"f.{c}").alias(k) for k, c in names.items()], *[F.nullif(F.expr(v), F.lit("")).alias(k) for k, v in refs.items()], *_stamps("f.UUID"))
 
 
+#: What stands in a tag behind its name: quoted values may hold the sign that ends a tag.
+TAG = r"""(?:[^>"]++|"[^"]*+")*+"""
+#: Names of the elements that are cut out of the files as raw text, and what may stand before their opening tag as part of them.
+CUT = {"Script": "", "Layout": "", "ChunkList": r"(?:<_[^\s>]+[^>]*>\s*)?"}
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written below the checkpoint folder, so that what reads it several times doesn't run it anew; as it is where that folder is unset."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        return df
+    path = f"{folder.get()}/kept-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _pieces(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """The files' text in pieces that end before the next closing tag, so that none is long however far apart elements of a name are; blocks are the parts of a file that are read apart."""
+    text = spark.read.option("lineSep", "</").option("encoding", encoding).text(path)
+    return text.select(_stem(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _census(pieces: DataFrame, names: Iterable[str]) -> list[tuple[str, int, str, int]]:
+    """Of each block and name that occurs in it: file, block, name, opening less closing tags."""
+    names = sorted(names)
+    opening = F.regexp_extract_all("value", F.lit(rf"<(?:{'|'.join(names)})(?:[\s/]{TAG})?+>"), F.lit(0))
+    closing = F.regexp_extract("value", r"^(\w+)\s*>", 1)
+    opened = F.transform(opening, lambda t: F.struct(F.regexp_extract(t, r"^<(\w+)", 1).alias("name"), F.when(t.endswith("/>"), 0).otherwise(1).alias("net")))
+    events = F.concat(opened, F.when(closing.isin(names), F.array(F.struct(closing.alias("name"), F.lit(-1).alias("net")))).otherwise(F.array()))
+    rows = pieces.select("file", "block", F.inline(events)).groupBy("file", "block", "name").agg(F.sum("net").alias("net"))
+    return [tuple(r) for r in rows.collect()]
+
+
+def _cut(pieces: DataFrame, tags: Iterable[str], census: list[tuple[str, int, str, int]]) -> DataFrame:
+    """Elements of these names as raw XML from their opening tag on, without the closing one: tag, file_name, xml; elements mustn't stand in others of their name.
+
+    Text is taken piece by piece, so that memory holds one element at most. An element that goes over the end of a block is put together from its
+    parts: the census tells which elements are open where a block begins.
+    """
+    spark = pieces.sparkSession
+    tags, nets = tuple(tags), {}
+    for file, block, name, net in sorted(census):
+        nets.setdefault((file, name), []).append((block, net))
+    states: dict[tuple[str, str], tuple[list[int], list[bool]]] = {}
+    for key, of in nets.items():
+        depth, after = 0, []
+        for _, net in of:
+            depth = max(0, depth + net)
+            after.append(depth > 0)
+        if any(after):
+            states[key] = [block for block, _ in of], after
+    shared = spark.sparkContext.broadcast(states)
+    schema = "tag string, file_name string, file string, block long, begins boolean, ends boolean, xml string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events = {t: re.compile(rf"{CUT.get(t, '')}<{t}(?:[\s/]{TAG})?+>|</{t}\s*>") for t in tags}
+        types = dict(zip(schema.split()[::2], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()), strict=True))
+        at, stem, parts, out = None, None, {}, []
+
+        def opened(tag: str, file: str, block: int) -> bool:
+            blocks, after = shared.value.get((file, tag), ((), ()))
+            i = bisect_left(blocks, block)
+            return i > 0 and after[i - 1]
+
+        def finish() -> None:
+            for tag, (begun, part) in parts.items():
+                if part is not None:
+                    out.append((tag, stem, *at, begun, False, "".join(part)))
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+            out.clear()
+            return batch
+
+        for batch in batches:
+            stems, files, blocks, values = (c.to_pylist() for c in batch.columns)
+            i = 0
+            while i < len(values):
+                j, file, block, first = i + 1, files[i], blocks[i], (files[i], blocks[i]) != at
+                while j < len(values) and blocks[j] == block and files[j] == file:
+                    j += 1
+                if first:
+                    finish()
+                    at, stem = (file, block), stems[i]
+                    parts = {t: (False, [] if opened(t, file, block) else None) for t in tags}
+                text = "</".join(values[i:j]) if first and not block else "</" + "</".join(values[i:j])
+                i = j
+                for tag in tags:
+                    (begun, part), start = parts[tag], 0
+                    for m in events[tag].finditer(text) if tag in text else ():
+                        if m[0].startswith("</"):
+                            if part is not None:
+                                part.append(text[start : m.start()])
+                                out.append((tag, stem, *at, begun, True, "".join(part)))
+                                part = None
+                        elif not m[0].endswith("/>"):
+                            begun, part, start = True, [], m.start()
+                    if part is not None:
+                        part.append(text[start:])
+                    parts[tag] = begun, part
+            if out:
+                yield made()
+        finish()
+        yield made()
+
+    found = pieces.select("file_name", "file", "block", "value").mapInArrow(run, schema)
+    if not states:
+        return found.where("ends").select("tag", "file_name", "xml")
+    found = kept(found)
+    whole = F.col("begins") & F.col("ends")
+    number = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("tag", "file").orderBy("block", "begins").rowsBetween(Window.unboundedPreceding, 0))
+    parts = found.where(~whole).withColumn("number", number).where("number > 0").groupBy("tag", "file_name", "file", "number")
+    joined = parts.agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("block", "begins", "xml"))).alias("parts")).where("ends")
+    return found.where(whole).select("tag", "file_name", "xml").unionByName(joined.select("tag", "file_name", F.array_join(F.col("parts.xml"), "").alias("xml")))
+
+
+def indexed(spark: SparkSession, path: str, names: Iterable[str], encoding: str = "UTF-8") -> Indexed:
+    """The path with an index of its files by the given names of elements, from one pass over them, and its raw elements, from another over the files that have any."""
+    census = _census(_pieces(spark, path, encoding), {*names, *CUT})
+    out = Indexed(path)
+    out.files = {n: [] for n in {*names, *CUT}}
+    for file, name in sorted({(file, name) for file, _, name, _ in census}):
+        out.files[name].append(re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(file)))
+    own = sorted({f for tag in CUT for f in out.files[tag]})
+    rows = _cut(_pieces(spark, own, encoding), CUT, census) if own else spark.createDataFrame([], "tag string, file_name string, xml string")
+    out.elements = kept(rows)
+    return out
+
+
 def _elements(spark: SparkSession, path: str, tag: str, encoding: str = "UTF-8") -> DataFrame:
     """Elements of one name as raw XML from their opening tag on, without the closing one; elements of that name mustn't be nested.
 
     Spark's XML source gives inner XML with its character references resolved, which is no XML any more; files are cut as text instead.
     """
-    pieces = spark.read.option("lineSep", f"</{tag}>").option("encoding", encoding).text(path).select(_stem(F.col("_metadata.file_name")).alias("file_name"), "value")
-    return pieces.select("file_name", F.regexp_replace("value", rf"(?s)^.*(?=<{tag}[\s>])", "").alias("xml")).where(F.col("xml").rlike(rf"^<{tag}[\s>]"))
-
-
-#: What stands in a tag behind its name: quoted values may hold the sign that ends a tag.
-TAG = r"""(?:[^>"]++|"[^"]*+")*+"""
+    if isinstance(path, Indexed):
+        return path.elements.where(F.col("tag") == tag).drop("tag")
+    pieces = _pieces(spark, path, encoding)
+    return _cut(pieces, [tag], _census(pieces, [tag])).drop("tag")
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -243,12 +390,11 @@ def _plain(text: Column) -> Column:
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """Tokens of calculations: calc_uuid (with its slot), calc_hash, chunk_index from 1, chunk_type, chunk_content.
 
-    Elements are named after their calculation, so files are read as text cut at the end of each token list, which keeps it splittable.
+    Elements are named after their calculation, so token lists are cut out of the files with the tag that stands before them, which names it.
     Content is text, or the inner XML of a reference.
     """
-    pieces = spark.read.option("lineSep", "</ChunkList>").text(path).select(_stem(F.col("_metadata.file_name")).alias("file_name"), "value").where(F.contains("value", F.lit("<ChunkList")))
-    head = F.regexp_extract("value", r"(?s)^.*(<_[^\s>]+[^>]*>)\s*<ChunkList[^>]*>", 1)
-    found = pieces.select("file_name", head.alias("head"), F.regexp_extract("value", r"(?s)^.*<ChunkList[^>]*>(.*)$", 1).alias("list")).where("head <> ''")
+    pieces = _elements(spark, path, "ChunkList").where(F.col("xml").startswith("<_"))
+    found = pieces.select("file_name", F.regexp_extract("xml", r"^<_[^\s>]+[^>]*>", 0).alias("head"), F.regexp_extract("xml", r"(?s)^<_[^>]*>\s*<ChunkList[^>]*>(.*)$", 1).alias("list"))
     every = found.select("file_name", F.regexp_extract("head", r"<(_[^\s>]+)", 1).alias("calc_uuid"), F.nullif(F.regexp_extract("head", r'\shash="([^"]*)"', 1), F.lit("")).alias("calc_hash"), F.posexplode(F.expr(r"regexp_extract_all(list, '(?s)<Chunk(?:\\s[^>]*)?(?:/>|>.*?</Chunk>)', 0)")).alias("at", "chunk"))
     inner = F.regexp_extract("chunk", r"(?s)^<Chunk[^>]*>(.*)</Chunk>$", 1)
     return every.select("file_name", "calc_uuid", "calc_hash", (F.col("at") + 1).cast("long").alias("chunk_index"), F.nullif(F.regexp_extract("chunk", r'^<Chunk\s[^>]*type="([^"]*)"', 1), F.lit("")).alias("chunk_type"), F.when(inner.startswith("<"), inner).otherwise(_plain(inner)).alias("chunk_content"))

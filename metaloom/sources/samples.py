@@ -85,6 +85,10 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "supplier").select(F.expr(f"named_struct('@id', s_suppkey, '@name', s_name, 'UUID', {_id('LAY', 's_suppkey')}, 'TableOccurrenceReference', {_ref('TO', 's_nationkey')}, 'PartsList', named_struct('Part', array(named_struct('@type', 'Body', '@kind', 4, 'ObjectList', named_struct('LayoutObject', array({portal}, {field}))))))").alias("Layout"))
 
 
+#: Most records of an export file, so that many tasks share the scans, as the XML source doesn't split files.
+RECORDS = 50_000
+
+
 def write_exports(spark: SparkSession, d: str) -> str:
     """Exports with records of all six tables, written into a new folder below the checkpoint folder; returns the folder, which is the caller's to delete."""
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -92,5 +96,5 @@ def write_exports(spark: SparkSession, d: str) -> str:
         raise ValueError("spark.checkpoint.dir is unset: exports are written into a folder that the driver and all executors share")
     path = f"{folder.get()}/exports-{uuid4().hex}"
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f(spark, d) for f in (_nations, _parts, _customers, _orders, _suppliers)])
-    rows.write.format("xml").option("rootTag", "Export").option("rowTag", "AddAction").option("attributePrefix", "@").option("valueTag", "_VALUE").save(path)
+    rows.write.format("xml").option("rootTag", "Export").option("rowTag", "AddAction").option("attributePrefix", "@").option("valueTag", "_VALUE").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).save(path)
     return path

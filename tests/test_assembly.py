@@ -4,6 +4,7 @@ from hashlib import md5
 
 import pytest
 from metaloom.operators import assembly as A
+from metaloom.sources import catalogs as C
 from metaloom.sources import exports as X
 
 U = "<UUID>{}</UUID>".format
@@ -137,3 +138,24 @@ def test_catalog(spark, path):
     }
     steps = {r["object_name"] for r in rows if r["object_type"] == "ScriptStep"}
     assert len(steps) == 12 and "Run [2] Set" in steps and sum(r["object_type"] == "Calculation" for r in rows) == 3
+
+
+def test_raw_elements_need_no_long_pieces_and_go_over_blocks(spark, tmp_path):
+    """Files without an element, or with much before it, are no single piece (the reader drops those over a limit here), and elements may go over the ends of a file's blocks."""
+    gap = "<a><b>x</b></a>" * 300
+    (tmp_path / "Far [1] %20.xml").write_text(EXPORT.replace("<Script>", gap + "<Script>").replace("<DDR_INFO>", gap + "<DDR_INFO>"), encoding="utf-8")
+    (tmp_path / "None.xml").write_text(f'<Export><AddAction>{gap}<Script id="1" name="n"/></AddAction></Export>', encoding="utf-8")
+    folder, hadoop = str(tmp_path), spark.sparkContext._jsc.hadoopConfiguration()
+    read = lambda p: [sorted(map(str, f(spark, p).collect())) for f in (X.steps, X.layout_objects, X.chunks, lambda s, q: C.scan(s, q, "scripts"), lambda s, q: C.scan(s, q, "layout_triggers"))]
+    want = read(folder)
+    assert [len(x) for x in want] == [12, 3, 6, 5, 0]
+    hadoop.set("mapreduce.input.linerecordreader.line.maxlength", "4000")
+    try:
+        assert read(folder)[:3] == want[:3]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert read(C.indexed(spark, folder)) == want
+    finally:
+        hadoop.unset("mapreduce.input.linerecordreader.line.maxlength")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
