@@ -157,14 +157,20 @@ def change_stamps(relations: dict[str, DataFrame]) -> DataFrame:
 
 
 def root_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """Of each file its encoding (by byte order mark, or by zero bytes) and its root element's name and attributes, from the first 4 KB alone."""
-    heads = spark.read.format("binaryFile").load(path).select(F.col("path"), F.substring("content", 1, 4096).alias("head"))
-    mark = F.hex(F.substring("head", 1, 2))
+    """Of each file its encoding (by byte order mark, or by zero bytes) and its root element's name and attributes, from what stands before the first tags' ends."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    # in pieces up to the next end of a tag, the files' bytes as they are; the declaration and the root are among the first
+    raw = F.col("value").cast("binary")
+    latin = F.replace(F.decode(raw, "ISO-8859-1"), F.lit("\x00"), F.lit(""))  # attributes of the root are in ASCII in any of these encodings
+    text = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.hex(F.substring(raw, 1, 2)).alias("start"), latin.alias("head"))
+    opens = F.regexp_like("head", F.lit(r"<[A-Za-z_][\w.-]*[^<>]*$"))
+    first = text.where("block = 0").groupBy("file").agg(F.min_by("start", "at").alias("mark"), F.min_by("head", F.when(opens, F.col("at"))).alias("head"))
+    heads = files.join(first, "file", "left").select("name", F.coalesce("mark", F.lit("")).alias("mark"), F.concat(F.coalesce("head", F.lit("")), F.lit(">")).alias("head"))
+    mark = F.col("mark")
     encoding = F.when(mark == "FFFE", "UTF-16LE").when(mark == "FEFF", "UTF-16BE").when(F.substring(mark, 3, 2) == "00", "UTF-16LE").when(F.substring(mark, 1, 2) == "00", "UTF-16BE").otherwise("UTF-8")
-    latin = F.replace(F.decode("head", "ISO-8859-1"), F.lit("\x00"), F.lit(""))  # attributes of the root are in ASCII in any of these encodings
-    root = F.regexp_extract(latin, r"<([A-Za-z_][\w.-]*)([^<>]*)>", 0)
+    root = F.regexp_extract("head", r"<([A-Za-z_][\w.-]*)([^<>]*)>", 0)
     pairs = F.expr(r"""regexp_extract_all(root, '[\\w:.-]+\\s*=\\s*"[^"]*"', 0)""")
-    rows = heads.select(exports._stem(F.element_at(F.split("path", "/"), -1)).alias("file_name"), encoding.alias("encoding"), root.alias("root"))
+    rows = heads.select(exports._stem(F.col("name")).alias("file_name"), encoding.alias("encoding"), root.alias("root"))
     split = F.transform(pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.regexp_extract(p, '"([^"]*)"', 1).alias("v")))
     return rows.select("file_name", "encoding", F.regexp_extract("root", r"<([\w.-]+)", 1).alias("root"), F.map_from_entries(F.array_distinct(split)).alias("attributes"))
 

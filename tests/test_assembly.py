@@ -155,6 +155,8 @@ def test_raw_elements_need_no_long_pieces_and_go_over_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         assert read(C.indexed(spark, folder)) == want
+        roots = {r["file_name"]: r["root"] for r in C.root_attributes(spark, folder).collect()}
+        assert roots == {"Far [1] %20": "Export", "None": "Export"}
     finally:
         hadoop.unset("mapreduce.input.linerecordreader.line.maxlength")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
