@@ -323,6 +323,19 @@ def test_html_text_of_large_pages_has_a_template(spark):
     assert _texts(spark, pages) == [" ".join(f"{n}-{i}" for i in range(2100)) for n in range(6)]
 
 
+def test_html_text_wrapper_decides_among_articles(spark, monkeypatch):
+    """The wrapper is induced on pages with articles too: a teaser in an article of its own, the same on all pages, is template; a constant paragraph of an article with content isn't."""
+    page = lambda n, ad="": f"<div>{ad}</div><article><h2>Join us</h2><p>Subscribe today</p></article><article><h1>t{n}</h1><p>always here</p><p>body {n}</p></article>"
+    want = [f"t{n} always here body {n}" for n in range(9)]
+    assert _texts(spark, [page(n) for n in range(9)]) == want
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    assert _texts(spark, [page(n) for n in range(9)]) == want
+    whole = "Join us Subscribe today t1 always here body 1"
+    assert _texts(spark, [page(n) for n in range(3)])[1] == whole and _texts(spark, [page(1, ad) for ad in range(9)]) == [whole] * 9
+    stub = lambda n: "<html></html>" if n % 2 else page(n // 2)
+    assert _texts(spark, [stub(n) for n in range(18)]) == [x for w in want for x in (w, "")]
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
