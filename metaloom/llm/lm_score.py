@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, discard, mix, release, small_batches, stash, table, text_buffer, word_hashes
+from .common import batches, columns_of, discard, mix, release_all, small_batches, stash, table, text_buffer, word_hashes
 
 ALPHA, UNSEEN = 0.4, 0.5
 #: Most rows of word counts to broadcast; share of a batch's documents from which a pair is looked at as frequent.
@@ -184,14 +184,15 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-_EXPLODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("packed", pa.int64())])
+#: In this order what differs between rows, the key and the logarithm's bytes, lies side by side in a shuffled row and what is equal does too, so that it compresses as one run.
+_EXPLODED = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("packed", pa.int64())])
 #: What a row is, in the two lowest bits of `row`; fixed points of the pairs' logarithms (24 bits, as precise as a single float) and of sums.
 PAIR, SUM, SIZE, ID = range(4)
 LOG_STEPS, LOG_LEAST, SUM_STEPS = 1 << 17, -64, 1 << 20
 
 
 def _explode(docs: DataFrame, shared: Broadcast, joined: bool) -> DataFrame:
-    """Rows (key, row, packed): of a pair the times it stands in the document, and the logarithm that a match replaces, in the lowest 24 bits.
+    """Rows (row, key, packed): of a pair the times it stands in the document, and the logarithm that a match replaces, in the lowest 24 bits.
 
     A document has three more rows, under keys of their own: its sum if every word backed off, its number of words, and its id unless that is null.
     """
@@ -236,11 +237,11 @@ def _explode(docs: DataFrame, shared: Broadcast, joined: bool) -> DataFrame:
             logs = np.clip(np.rint((excess - LOG_LEAST) * LOG_STEPS).astype(np.int64), 0, (1 << 24) - 1)
             packed = np.r_[np.rint(base * SUM_STEPS).astype(np.int64), size, ids[known], (n << 24) | logs]
             keys = np.r_[mix(own_rows.astype(np.uint64)), k].view(np.int64)
-            every = pa.RecordBatch.from_arrays([_long(keys), _long(np.r_[own_rows, row[d] + PAIR]), _long(packed)], schema=_EXPLODED)
+            every = pa.RecordBatch.from_arrays([_long(np.r_[own_rows, row[d] + PAIR]), _long(keys), _long(packed)], schema=_EXPLODED)
             for i in range(0, every.num_rows, 1 << 16):
                 yield every.slice(i, 1 << 16)
 
-    return docs.mapInArrow(run, "key long, row long, packed long")
+    return docs.mapInArrow(run, "row long, key long, packed long")
 
 
 def _distinct_words(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
     discard(words, candidates)
     shared = spark.sparkContext.broadcast((total, *table_, *often, sketch))
     exploded = _explode(docs, shared, joined)
-    release(spark, now=True)  # lets go of the counts' shuffle files
+    release_all(spark)  # lets go of the counts' shuffle files, which one collection leaves in part
     # the count table and its join with the rows, both in the partition of the pair
     kind = F.col("row").bitwiseAND(F.lit(3))
     n = F.when(kind == PAIR, F.shiftright("packed", 24))

@@ -336,6 +336,16 @@ def test_html_text_wrapper_decides_among_articles(spark, monkeypatch):
     assert _texts(spark, [stub(n) for n in range(18)]) == [x for w in want for x in (w, "")]
 
 
+def test_lm_score_lets_go_of_the_counts_shuffles(spark):
+    """When the pairs are about to be shuffled, no shuffle of the counts is left."""
+    known = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(","))
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 97).cast("string")) for k in range(1, 30)]).alias("text")).repartition(4)
+    before = known()
+    scored = lm_score.score(texts)
+    assert known() - before - {""} == set()
+    assert scored.count() == 400
+
+
 def test_licenses(spark):
     texts = [(1, "MIT Licence\n\nCopyright (c) 2020 Someone\n\n" + licenses._MIT.replace('"', "“").lower()), (2, licenses._MIT + " more"), (3, None), (4, "a\nReleased under the MIT licence\nb"), (4, "a\nReleased under the MIT licence\nb")]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, license_id string")
