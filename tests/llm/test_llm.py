@@ -451,6 +451,18 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "e"), warc.write(df.where("false"), str(tmp_path / "e"))).count() == 0
 
 
+def test_release_gives_native_memory_back(spark):
+    """Buffers that lie between ones in use are freed, but stay with C's allocator unless it is told to trim."""
+    jvm = spark.sparkContext._jvm
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status").read())[1]) / 1024  # noqa: E731, SIM115
+    common.release(spark, now=True)
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(96 << 10) for _ in range(2400)]
+    full, buffers = held(), buffers[::8]
+    for _ in range(2):  # memory is freed in the background, once a collection has found it unused
+        common.release_all(spark)
+    assert held() < full - 120 and len(buffers) == 300
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
